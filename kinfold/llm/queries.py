@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.groups import consolidate
+from kinfold.llm.packing import pack
+from kinfold.llm.subsequences import frequent_subsequences
 from kinfold.llm.topn import top_n
+from kinfold.operators.versions import newest
 from kinfold.sources.tables import table
 from kinfold.storage import Scratch
 
@@ -38,7 +41,21 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("user_id", "file_id_a", F.col("place").cast("int").alias("place"), "file_id_b")
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders of 3 to 5 commands that at least 40 % of the users go through."""
+    commands = newest(table(spark, folder, "command_history"), ["user_id", "rand_id"], columns=["time_run", "cmd"])
+    item = F.lower(F.regexp_replace("cmd", r"^\s+|\s+$", ""))
+    events = commands.where("time_run <> 0").select(F.col("user_id").alias("entity"), item.alias("item"), F.col("time_run").alias("time"), F.col("rand_id").alias("tie"))
+    return frequent_subsequences(events.where("item <> ''"), "2/5", (3, 5), Scratch(spark, "p4"))
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces and their containers of 2,048 tokens."""
+    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    return pack(documents, 2048, Scratch(spark, "p7")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p7_containers": p7_containers}
 
 SQL = {
     "p1_found": """
@@ -52,6 +69,24 @@ with recursive v as (
   select user_id, a, b from e union select r.user_id, r.file_id, e.b from r join e on e.user_id = r.user_id and e.a = r.other
 )
 select user_id, file_id, least(file_id, min(other)) as group_id from r group by user_id, file_id
+""",
+    "p4_found": """
+with recursive v as (
+  select user_id, rand_id, time_run, lower(regexp_replace(cmd, '^\\s+|\\s+$', '', 'g')) as cmd from command_history
+  qualify row_number() over (partition by user_id, rand_id order by ingested_at desc) = 1
+), s as (
+  select user_id, cmd, row_number() over (partition by user_id order by time_run, rand_id) as k from v
+  where time_run is not null and time_run <> 0 and cmd is not null and cmd <> ''
+), firsts as (
+  select a.user_id, a.k, b.cmd, min(b.k) as nk from (select user_id, k from s union all select distinct user_id, 0 from s) a
+  join s b on a.user_id = b.user_id and b.k > a.k group by all
+), p(user_id, pattern, k, n) as (
+  select user_id, cmd, nk, 1 from firsts where k = 0
+  union all
+  select p.user_id, p.pattern || '>' || f.cmd, f.nk, p.n + 1 from p join firsts f on f.user_id = p.user_id and f.k = p.k where p.n < 5
+)
+select pattern, count(*)::bigint as support from p where n >= 3 group by pattern
+having count(*) * 5 >= 2 * (select count(distinct user_id) from s)
 """,
     "p5_found": """
 with v as (
