@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.groups import consolidate
+from kinfold.llm.leakage import leaks
 from kinfold.llm.packing import pack
 from kinfold.llm.subsequences import frequent_subsequences
 from kinfold.llm.topn import top_n
@@ -55,7 +56,14 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack(documents, 2048, Scratch(spark, "p7")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p7_containers": p7_containers}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a stretch of an evaluation item."""
+    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = table(spark, folder, "eval_items").select(F.col("item_id").alias("id"), "text")
+    return leaks(documents, items, Scratch(spark, "p8"))
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p7_containers": p7_containers, "p8_found": p8_found}
 
 SQL = {
     "p1_found": """
