@@ -10,6 +10,7 @@ from kinfold.llm.leakage import leaks
 from kinfold.llm.packing import pack
 from kinfold.llm.subsequences import frequent_subsequences
 from kinfold.llm.topn import top_n
+from kinfold.llm.truncation import truncated
 from kinfold.operators.versions import newest
 from kinfold.sources.tables import table
 from kinfold.storage import Scratch
@@ -63,7 +64,27 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(documents, items, Scratch(spark, "p8"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p7_containers": p7_containers, "p8_found": p8_found}
+def _truncated(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    return truncated(documents, Scratch(spark, "p9"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return _truncated(spark, folder).select(F.col("id").alias("doc_id"))
+
+
+def p9_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """How many texts of each source were cut off, and where."""
+    found = _truncated(spark, folder).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_cut"), *(F.sum((F.col("reason") == r).cast("long")).alias(f"n_{r}") for r in ("mark", "line", "word", "sentence"))
+    )
+    texts = table(spark, folder, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"))
+    joined = texts.join(found.withColumnRenamed("source", "f_source"), F.col("source").eqNullSafe(F.col("f_source")), "left").drop("f_source")
+    return joined.fillna(0, ["n_cut", "n_mark", "n_line", "n_word", "n_sentence"])
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p7_containers": p7_containers, "p8_found": p8_found, "p9_found": p9_found, "p9_sources": p9_sources}
 
 SQL = {
     "p1_found": """
