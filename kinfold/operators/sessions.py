@@ -139,7 +139,7 @@ def sessions(events: DataFrame, gap: int, arrived: str = "ingested_at", shares:
     scratch = Scratch(spark, "session-events")
     held = scratch.cut(events.select("key", "time", F.col(arrived).alias("arrived")), "events")
     table = SessionTable(spark, f"{scratch.path}/table", gap)
-    cuts = sorted(set(held.select(F.percentile_approx("arrived", list(shares))).first()[0] or []))
+    cuts = sorted(set(held.select(F.percentile_approx("arrived", list(shares))).first()[0] or [])) if shares else []
     kind = held.schema["arrived"].dataType
     for lo, hi in zip([None, *cuts], [*cuts, None]):
         own = F.lit(True) if lo is None else F.col("arrived") > F.lit(lo).cast(kind)

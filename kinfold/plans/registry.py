@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinfold.plans import core_problems
+from kinfold.plans import core_problems, file_queries
 
-_MODULES = [core_problems]
+_MODULES = [core_problems, file_queries]
 
 
 def queries() -> dict:
