@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,27 +25,33 @@ COMMON = 0.001  # words in at least this share of the texts stand for themselves
 LIMIT_SHARE, LIMIT_COUNT = 0.02, 5  # texts of one length that make it a limit of their source
 MARKS = ("...", "…", "[...]", "[…]", "(...)", "[cut]", "[truncated]", "(truncated)", "[more]", "(continued)")
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|\n\s*|(?<=\w)\.(?=\w)|[^\w\s]|_")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s]|[_\n\x01]")
+_DOT_INSIDE, _LINE_END = re.compile(r"\.(?=\w)"), re.compile(r"\n\s+")
 _BEGUN = re.compile(r"\d{1,4}[.)]|[*•-]|\[[ xX]?\]?")  # a line of which only the number or the bullet is there
-_INNER, _END = "\x01.", "\x02"
-_TERMINAL = frozenset(".!?")
+_APART, _TERMINAL = "\x02", frozenset(".!?")
+TAIL = 256
 
 
 def tokens(text: str) -> list[str]:
-    """Words, numbers, marks and line ends; a dot inside a name is a token of its own kind."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        t = m.group()
-        if t[0] == "\n":
-            t = "\n"
-        elif t == "." and m.end() < len(text) and (text[m.end()].isalnum() or text[m.end()] == "_"):
-            t = _INNER
-        out.append(t)
+    """Words, numbers, marks and line ends; a dot before a letter or digit is a token of its own (\\x01), runs of line ends are one."""
+    text = _LINE_END.sub("\n", text.replace("\x01", " "))
+    out = _TOKEN.findall(_DOT_INSIDE.sub("\x01", text))
     while out and out[-1] == "\n":
         out.pop()
     return out
 
 
+def last_tokens(text: str, least: int = 8) -> list[str]:
+    """The last tokens of a text, `least` at least if it has so many; the same as those of the whole text."""
+    n = TAIL
+    while n < len(text):
+        out = tokens(text[-n:])
+        if len(out) > least:
+            return out[1:]  # the first may have been cut
+        n *= 4
+    return tokens(text)
+
+
 def _number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -105,10 +112,25 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n: Counter = Counter()
         for text in batch.column(0).to_pylist():
-            n.update({t for t in tokens(text)[:-1] if t[0].isalpha()})
+            n.update(set(tokens(text)[:-1]))
+        n = Counter({t: k for t, k in n.items() if t[0].isalpha()})
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
 
+class Numbered(dict):
+    """Numbers what it is asked for, from 0."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
+def _added(keys: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    inverse, distinct = pd.factorize(keys)
+    return [distinct, *(np.bincount(inverse, weights=c, minlength=len(distinct)).astype(np.int64) for c in counts)]
+
+
 def statistics(common: frozenset[str]):
     """What follows every context, and the prefixes of every word after another, added up over a batch.
 
@@ -118,53 +140,52 @@ def statistics(common: frozenset[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(common)
+        width = max(_CONTEXT) + 1
         for batch in batches:
-            loose, lasts, ends, words = [], [], [], Counter()
+            number, parts = Numbered({_APART: 0, "\n": 1}), []
+            apart = np.zeros(width, dtype=np.int32)  # keeps the contexts of two texts apart
             for text in batch.column(0).to_pylist():
                 ts = tokens(text)
-                if not ts:
-                    continue
-                # a text's limits keep contexts apart
-                loose += [0] * 6 + [*map(coder.loose, ts)]
-                lasts += [0] * 6 + [*map(coder.last, ts)]
-                before = ["\n", *ts]
-                # the dot after a number that begins a line ends nothing
-                ends += [-1] * 6 + [*(f == "\n" or f == _END or (f in _TERMINAL and not (b == "\n" and t.isdigit())) for b, t, f in zip(before, ts, [*ts[1:], _END]))]
-                words.update((b, w) for b, w in zip(before[:-1], ts[:-1]) if w[0].isalpha() or w[0].isdigit())
-            keys, a, b = [], [], []
-            if loose:
-                x, e = np.array(loose, dtype=np.int64), np.array(ends, dtype=np.int64)
-                real = e >= 0
-                context = np.array(lasts, dtype=np.int64)
-                for n in range(max(_CONTEXT) + 1):
-                    if n:
-                        context = _mix(context[1:], x[: len(context) - 1])  # tokens n..0 back, the last first
-                    if n not in _CONTEXT:
-                        continue
-                    own, at = context[real[n:]], e[n:][real[n:]]
-                    whole = np.ones(len(own), dtype=bool)
-                    for back in range(1, n + 1):
-                        whole &= real[n - back : len(real) - back][real[n:]]
-                    k, inverse, count = np.unique(_mix(own[whole], np.full(whole.sum(), _CONTEXT[n])), return_inverse=True, return_counts=True)
-                    keys.append(k)
-                    a.append(count)
-                    b.append(np.bincount(inverse, weights=at[whole], minlength=len(k)).astype(np.int64))
-            exact, longer = Counter(), Counter()
-            for (p, w), n in words.items():
-                p = coder.loose(p)
-                exact[p, w] += n
-                for i in range(1, min(len(w), 24)):
-                    longer[p, w[:i]] += n
-            for counter, salt in ((exact, _WORD), (longer, _LONGER)):
-                if counter:
-                    p = np.array([k[0] for k in counter], dtype=np.int64)
-                    w = np.array([coder.exact(k[1]) for k in counter], dtype=np.int64)
-                    k = _mix(_mix(p, w), np.full(len(p), salt))
-                    keys.append(k)
-                    a.append(np.array(list(counter.values())))
-                    b.append(np.zeros(len(k), dtype=np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["key", "a", "b"])
+                parts += [apart, np.fromiter(map(number.__getitem__, ts), dtype=np.int32, count=len(ts))]
+            if not parts:
+                continue
+            at, words = np.concatenate([*parts, apart]), list(number)
+            loose = np.array([coder.loose(w) for w in words], dtype=np.int64)
+            last = np.array([coder.last(w) for w in words], dtype=np.int64)
+            exact = np.array([coder.exact(w) for w in words], dtype=np.int64)
+            spoken = np.array([w[0].isalnum() for w in words])
+            digits = np.array([w.isdigit() for w in words])
+            terminal = np.array([w in _TERMINAL for w in words])
+            before, follow = np.concatenate([[0], at[:-1]]), np.concatenate([at[1:], [0]])
+            # the dot after a number that begins a line ends nothing
+            ends = (follow <= 1) | terminal[follow] & ~(digits[at] & (before <= 1))
+            real, out = at > 0, []
+            context, whole = last[at], real.copy()
+            for n in range(width):
+                if n:
+                    context = _mix(context[1:], loose[at[:-n]])  # n tokens back
+                    whole = whole[1:] & real[:-n]
+                if n in _CONTEXT:
+                    own = context[whole]
+                    out.append(_added(_mix(own, np.full(len(own), _CONTEXT[n])), np.ones(len(own)), ends[n:][whole]))
+            # words after what precedes them, the last of a text left out
+            pair = real & spoken[at] & (follow > 0)
+            kinds, kind = np.unique(loose[np.maximum(before[pair], 1)], return_inverse=True)
+            pairs, n = np.unique(kind * np.int64(len(words)) + at[pair], return_counts=True)
+            p, w = kinds[pairs // len(words)], pairs % len(words)
+            out.append(_added(_mix(_mix(p, exact[w]), np.full(len(p), _WORD)), n, np.zeros(len(p))))
+            starts = Numbered()
+            size = np.array([min(len(x), 24) - 1 if s else 0 for x, s in zip(words, spoken)], dtype=np.int64)
+            flat = np.array([starts[x[:i]] for x, k in zip(words, size.tolist()) for i in range(1, k + 1)], dtype=np.int64)
+            first = np.cumsum(size) - size
+            start = np.array([coder.exact(x) for x in starts], dtype=np.int64)
+            k = size[w]
+            which = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[w], k)
+            if len(which):
+                longer = _mix(_mix(np.repeat(p, k), start[flat[which]]), np.full(len(which), _LONGER))
+                out.append(_added(longer, np.repeat(n, k), np.zeros(len(which))))
+            keys, a, b = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["key", "a", "b"])
 
     return run
 
@@ -204,7 +225,7 @@ def endings(common: frozenset[str]):
             state |= 4
         if not mark and len(end) > 1 and end[-1] == "-" and end[-2].isalpha():
             state |= 4
-        ts = tokens(end)
+        ts = last_tokens(end)
         if not ts:
             return state & ~1, []
         if _BEGUN.fullmatch(last_line):
