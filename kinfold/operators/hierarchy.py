@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinfold.storage import Scratch
 
-LEVELS_PER_JOB = 8
+LEVELS_PER_JOB = 2
 
 
 def _down(frontier: DataFrame, rest: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def resolve(nodes: DataFrame, scratch: Scratch, levels_per_job: int = LEVELS_PER
         "scope", "id", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), F.concat(F.lit("/"), "name").alias("full_path"), F.array().cast("array<string>").alias("ancestors")
     )
     rest = marked.where("has_parent").select("scope", "id", "parent", "name")
-    reached, frontier, left, depth = [roots], roots, rest.count(), 0
+    frontier, left, depth = scratch.add(roots, "levels"), rest.count(), 0
     while left:
         levels = []
         for _ in range(levels_per_job):
@@ -50,12 +50,11 @@ def resolve(nodes: DataFrame, scratch: Scratch, levels_per_job: int = LEVELS_PER
         block = levels[0]
         for level in levels[1:]:
             block = block.unionByName(level)
-        block = scratch.cut(block, "levels")
+        block = scratch.add(block, "levels")
         depth += levels_per_job
         new, deepest = block.agg(F.count(F.lit(1)), F.max("depth")).first()
         if not new:
             break
-        reached.append(block)
         if deepest < depth:
             left -= new
             rest = rest.join(block.select("scope", "id"), ["scope", "id"], "left_anti")
@@ -64,9 +63,7 @@ def resolve(nodes: DataFrame, scratch: Scratch, levels_per_job: int = LEVELS_PER
         if new > left // 4:
             rest = scratch.cut(rest.join(block.select("scope", "id"), ["scope", "id"], "left_anti"), "rest")
             left -= new
-    out = reached[0]
-    for block in reached[1:]:
-        out = out.unionByName(block)
+    out = scratch.all("levels", roots.schema)
     unreached = rest.join(out.select("scope", "id"), ["scope", "id"], "left_anti") if left else rest.limit(0)
     return out, unreached
 

@@ -8,7 +8,7 @@ aggregation), and only the first and the last component of a bucket go on to the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,9 +26,15 @@ SCHEMA = T.StructType(
 )
 
 
-def _merge_level(df: DataFrame, width: int, gap: int) -> DataFrame:
-    """Components within each (key, start div width), with place from the first and from the last of the bucket."""
-    bucket = F.floor(F.col("start") / F.lit(width)).cast("long")
+def _bucket(time: Column, base: int, width: int) -> Column:
+    """Whole numbers throughout: a quotient of doubles would lose seconds of far times."""
+    off = time - F.lit(base)
+    return ((off - F.pmod(off, F.lit(width))) / F.lit(width)).cast("long")
+
+
+def _merge_level(df: DataFrame, base: int, width: int, gap: int) -> DataFrame:
+    """Components within each (key, bucket of the start), with their number c and the last number of the bucket."""
+    bucket = _bucket(F.col("start"), base, width)
     own = Window.partitionBy("key", "bucket")
     by = own.orderBy("start", "end", "n")
     before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -52,26 +58,27 @@ def merge_intervals(df: DataFrame, gap: int, limits: tuple[int, int], bucket_s:
     """
     if gap < 1:
         raise ValueError("gap must be 1 second or more")
-    first, last = F.floor(F.col("start") / bucket_s).cast("long"), F.floor(F.col("end") / bucket_s).cast("long")
+    base = limits[0]
+    first, last = _bucket(F.col("start"), base, bucket_s), _bucket(F.col("end"), base, bucket_s)
     pieces = (
         df.select("key", "start", "end", "n", F.explode(F.sequence(first, last)).alias("b"), first.alias("b0"))
         .select(
             "key",
-            F.greatest("start", F.col("b") * bucket_s).alias("start"),
-            F.least("end", (F.col("b") + 1) * bucket_s - 1).alias("end"),
+            F.greatest(F.col("start"), F.col("b") * bucket_s + F.lit(base)).alias("start"),
+            F.least(F.col("end"), (F.col("b") + 1) * bucket_s + F.lit(base - 1)).alias("end"),
             F.when(F.col("b") == F.col("b0"), F.col("n")).otherwise(0).cast("long").alias("n"),
         )
         .groupBy("key", "start", "end")
         .agg(F.sum("n").alias("n"))
     )
-    width, level, out = bucket_s, _merge_level(pieces, bucket_s, gap), None
-    while limits[0] // width != limits[1] // width:
+    width, level, out = bucket_s, _merge_level(pieces, base, bucket_s, gap), None
+    while limits[1] - base >= width:
         # a bucket's inner components can't reach a neighbour bucket; the exchange below `level` is reused
         inner = (F.col("c") > 1) & (F.col("c") < F.col("last"))
         done = level.where(inner).select("key", "start", "end", "n")
         out = done if out is None else out.unionByName(done)
         width *= fanout
-        level = _merge_level(level.where(~inner).select("key", "start", "end", "n"), width, gap)
+        level = _merge_level(level.where(~inner).select("key", "start", "end", "n"), base, width, gap)
     rest = level.select("key", "start", "end", "n")
     return rest if out is None else out.unionByName(rest)
 
@@ -96,12 +103,14 @@ class SessionTable:
 
     def _near(self, df: DataFrame, names: list[str]) -> DataFrame:
         """One row for each bucket that the interval, widened by the gap, touches."""
-        lo = F.floor((F.col("start") - self.gap) / self.bucket_s).cast("long")
-        hi = F.floor((F.col("end") + self.gap) / self.bucket_s).cast("long")
+        lo, hi = _bucket(F.col("start") - self.gap, 0, self.bucket_s), _bucket(F.col("end") + self.gap, 0, self.bucket_s)
         return df.select(*names, F.explode(F.sequence(lo, hi)).alias("b"))
 
-    def apply(self, events: DataFrame) -> int:
-        """events: (key string, time bigint); returns the table's version."""
+    def apply(self, events: DataFrame, tag: str | None = None) -> int:
+        """events: (key string, time bigint); returns the table's version. A batch with the tag of the last commit was
+        applied already and is left out, so a stream that repeats its last batch counts it once."""
+        if tag is not None and tag == self.table.tag:
+            return self.table.version
         points = events.where("key is not null and time is not null").groupBy("key", F.col("time").cast("long").alias("start"))
         points = points.agg(F.count(F.lit(1)).alias("n")).select("key", "start", F.col("start").alias("end"), "n")
         limits = span(events.where("key is not null and time is not null").select(F.col("time").alias("start"), F.col("time").alias("end")))
@@ -109,7 +118,7 @@ class SessionTable:
             return self.table.version
         local = merge_intervals(points, self.gap, limits, self.bucket_s).withColumn("part", self._part())
         if self.table.version == 0:
-            return self.table.replace(local, list(range(self.parts)))
+            return self.table.replace(local, list(range(self.parts)), tag)
         local = self.scratch.cut(local, "local")
         stored = self.table.read()
         s = self._near(stored, ["key", "start", "end", "n"])
@@ -123,7 +132,7 @@ class SessionTable:
         touched, limits = [r[0] for r in about], (min(r[1] for r in about), max(r[2] for r in about))
         merged = merge_intervals(both.drop("part"), self.gap, limits, self.bucket_s).withColumn("part", self._part())
         kept = stored.withColumn("part", self._part()).where(F.col("part").isin(touched)).join(affected.select("key", "start"), ["key", "start"], "left_anti")
-        return self.table.replace(kept.select("key", "start", "end", "n", "part").unionByName(merged), touched)
+        return self.table.replace(kept.select("key", "start", "end", "n", "part").unionByName(merged), touched, tag)
 
     def read(self) -> DataFrame:
         return self.table.read()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinfold.plans import core_problems, file_queries
+from kinfold.plans import core_problems, file_queries, stream_queries, text_queries
 
-_MODULES = [core_problems, file_queries]
+_MODULES = [core_problems, file_queries, text_queries, stream_queries]
 
 
 def queries() -> dict:

@@ -58,7 +58,6 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_folder(spark)}/kinfold-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        self._at: dict[int, str] = {}
         _made.append(self.path)
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -67,10 +66,20 @@ class Scratch:
         path = f"{self.path}/{self._n:04d}-{name}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._at[id(out)] = path
         out._kinfold_path = path  # keeps the path with the frame for drop()
         return out
 
+    def add(self, df: DataFrame, name: str) -> DataFrame:
+        """Like `cut`, into a folder that `all` reads as one table."""
+        self._n += 1
+        path = f"{self.path}/{name}/{self._n:04d}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def all(self, name: str, schema) -> DataFrame:
+        """All tables added under a name."""
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/*")
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that no later step reads."""
         for df in frames:
@@ -117,20 +126,25 @@ class VersionedTable:
     def read(self) -> DataFrame:
         """The rows of the last committed version (empty before the first)."""
         _, parts = self._manifest()
-        paths = sorted(parts.values())
+        paths = sorted(v for k, v in parts.items() if k != "tag")
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def replace(self, rows: DataFrame, parts: list[int]) -> int:
+    @property
+    def tag(self) -> str | None:
+        """What the last commit was given as its tag."""
+        return self._manifest()[1].get("tag")
+
+    def replace(self, rows: DataFrame, parts: list[int], tag: str | None = None) -> int:
         """Makes rows the whole content of the given parts (rows has the part column too); returns the new version."""
         version, old = self._manifest()
         folder = f"{self.path}/v{version + 1:06d}-{uuid.uuid4().hex[:8]}"
         rows.write.mode("overwrite").partitionBy(self.part).parquet(folder)
         fs, at = file_system(self.spark, folder)
         written = {s.getPath().getName().split("=")[1] for s in fs.listStatus(at) if "=" in s.getPath().getName()}
-        new = {k: v for k, v in old.items() if int(k) not in set(parts)}
-        new |= {k: f"{folder}/{self.part}={k}" for k in written}
+        new = {k: v for k, v in old.items() if k != "tag" and int(k) not in set(parts)}
+        new |= {k: f"{folder}/{self.part}={k}" for k in written} | ({} if tag is None else {"tag": tag})
         self._commit(version + 1, new)
         return version + 1
 
@@ -157,7 +171,7 @@ class VersionedTable:
             stream = fs.open(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{name}"))
             text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
             stream.close()
-            used |= {os.path.dirname(x).rsplit("/", 1)[1] for x in json.loads(text).values()}
+            used |= {os.path.dirname(x).rsplit("/", 1)[1] for k, x in json.loads(text).items() if k != "tag"}
         fs, at = file_system(self.spark, self.path)
         for s in fs.listStatus(at):
             name = s.getPath().getName()
