@@ -47,6 +47,8 @@ def token_counts(tokenizer: str, chunk: int = 256):
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Container number of every item, taken in the order given; sizes from 1 to capacity."""
+    if len(sizes) and (sizes.min() < 1 or sizes.max() > capacity):
+        raise ValueError("sizes must be from 1 to the capacity")
     count = np.zeros(capacity + 1, dtype=np.int64)  # open containers by gap
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
     out = np.zeros(len(sizes), dtype=np.int64)

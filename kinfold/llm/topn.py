@@ -1,85 +1,19 @@
-"""The N best items of every group, by positions in one global order.
-
-Rows are range-partitioned and sorted on (group, score, identifier), so a group of any size spreads over as many
-partitions as it needs. Each partition counts its groups; the counts' prefix sums over the partitions turn the
-place within a partition into the exact place within the group.
-"""
+"""The N best items of every group, by positions in one global order."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame
 
+from kinfold.operators.places import places
 from kinfold.storage import Scratch
 
 
-def _starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
-    """Indices of the rows of a sorted batch whose key differs from the row before; 0 is left out."""
-    n, differs = batch.num_rows, np.zeros(max(batch.num_rows - 1, 0), dtype=bool)
-    for k in keys:
-        col = batch.column(batch.schema.get_field_index(k))
-        differs |= pc.not_equal(col.slice(1), col.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-    return np.flatnonzero(differs) + 1
-
-
-def _places(keys: list[str], n: int):
-    """Marks rows with their place within the partition's run of the group; keeps places up to n, and the run's size.
-
-    A run's size is only needed where the run touches the end of its partition: a later partition can go on with
-    no other group. It is given on an extra row of place 0.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid = TaskContext.get().partitionId()
-        before, last, schema = 0, None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            schema = batch.schema
-            starts = _starts(batch, keys)
-            key = tuple(batch.column(schema.get_field_index(k))[0].as_py() for k in keys)
-            begin = np.concatenate([[0], starts]).astype(np.int64)
-            base = np.zeros(batch.num_rows, dtype=np.int64)
-            base[begin] = begin
-            place = np.arange(batch.num_rows) - np.maximum.accumulate(base) + 1
-            if key == last:
-                place[: begin[1] if len(begin) > 1 else None] += before
-            keep = np.flatnonzero(place <= n)
-            out = batch.take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(place[keep]), pa.array(np.full(len(keep), pid, dtype=np.int32))], names=[*schema.names, "place", "pid"])
-            before, end = int(place[-1]), batch.slice(batch.num_rows - 1)
-            last = tuple(batch.column(schema.get_field_index(k))[batch.num_rows - 1].as_py() for k in keys)
-        if schema is not None:
-            # the extra row: negative size in place
-            yield pa.RecordBatch.from_arrays([*end.columns, pa.array([-before], type=pa.int64()), pa.array([pid], type=pa.int32())], names=[*schema.names, "place", "pid"])
-
-    return run
-
-
-def top_n(rows: DataFrame, keys: list[str], order: list[F.Column], n: int, scratch: Scratch, partitions: int | None = None) -> DataFrame:
-    """Rows of places 1 to n of every group (keys), with their place (bigint).
+def top_n(rows: DataFrame, keys: list[str], order: list, n: int, scratch: Scratch, partitions: int | None = None) -> DataFrame:
+    """Rows of the places 1 to n of every group (keys), with their place (bigint).
 
-    order: sort expressions that make the order total; rows equal in all of them take places in no fixed order,
-    and repeated rows each take one. Keys must not be null. Groups with fewer rows are returned whole.
+    One sort over range partitions orders rows by group, score and identifier; counts of groups, prefix-summed over the
+    partitions, make places exact (see `places`), so a group of any size needs no task of its own. A partition only
+    keeps its own first n of a group: no row beyond them can have a place up to n. order should make the order
+    total; repeated rows take one place each. Groups with fewer rows are returned whole, an empty table gives none.
     """
-    spread = rows.repartitionByRange(partitions, *keys, *order) if partitions else rows.repartitionByRange(*keys, *order)
-    ordered = spread.sortWithinPartitions(*keys, *order)
-    schema = T.StructType([*ordered.schema.fields, T.StructField("place", T.LongType()), T.StructField("pid", T.IntegerType())])
-    placed = scratch.cut(ordered.mapInArrow(_places(keys, n), schema), "placed")
-    # one row a partition: its last group and how many rows of it the partition holds
-    tails = placed.where("place < 0").select(*keys, "pid", (-F.col("place")).alias("size"))
-    runs = Window.partitionBy(*keys).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    heads = placed.where("place > 0").groupBy(*keys, "pid").agg(F.lit(0).cast("long").alias("size"))
-    offsets = tails.select(*keys, "pid", "size")
-    # prefix sums over the partitions of each group that ends a partition
-    later = heads.select(*keys, "pid", "size").join(tails.select(*keys).distinct(), keys, "left_semi")
-    sums = offsets.unionByName(later).groupBy(*keys, "pid").agg(F.sum("size").alias("size")).withColumn("offset", F.coalesce(F.sum("size").over(runs), F.lit(0)))
-    out = placed.where("place > 0").join(sums.select(*keys, "pid", "offset"), [*keys, "pid"], "left")
-    return out.withColumn("place", F.col("place") + F.coalesce("offset", F.lit(0))).where(F.col("place") <= n).select(*rows.columns, "place")
+    return places(rows, keys, order, scratch, n=n, partitions=partitions)

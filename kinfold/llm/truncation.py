@@ -29,7 +29,7 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s]|[_\n\x01]")
 _DOT_INSIDE, _LINE_END = re.compile(r"\.(?=\w)"), re.compile(r"\n\s+")
 _BEGUN = re.compile(r"\d{1,4}[.)]|[*•-]|\[[ xX]?\]?")  # a line of which only the number or the bullet is there
 _APART, _TERMINAL = "\x02", frozenset(".!?")
-TAIL = 256
+TAIL, PORTION = 256, 3_000_000
 
 
 def tokens(text: str) -> list[str]:
@@ -125,6 +125,19 @@ class Numbered(dict):
         return n
 
 
+def _portions(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in order, so many at a time that what is made of them fits into memory, however long they are."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size > PORTION:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _added(keys: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
     """Distinct keys and the sums of their counts."""
     inverse, distinct = pd.factorize(keys)
@@ -141,14 +154,12 @@ def statistics(common: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(common)
         width = max(_CONTEXT) + 1
-        for batch in batches:
+        for texts in (p for batch in batches for p in _portions(batch.column(0).to_pylist())):
             number, parts = Numbered({_APART: 0, "\n": 1}), []
             apart = np.zeros(width, dtype=np.int32)  # keeps the contexts of two texts apart
-            for text in batch.column(0).to_pylist():
+            for text in texts:
                 ts = tokens(text)
                 parts += [apart, np.fromiter(map(number.__getitem__, ts), dtype=np.int32, count=len(ts))]
-            if not parts:
-                continue
             at, words = np.concatenate([*parts, apart]), list(number)
             loose = np.array([coder.loose(w) for w in words], dtype=np.int64)
             last = np.array([coder.last(w) for w in words], dtype=np.int64)
