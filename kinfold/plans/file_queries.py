@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import kinds, measures, text
-from kinfold.operators import pairs, rules, states
+from kinfold.operators import explain, pairs, rules, states
 from kinfold.operators.comanage import comanaged
 from kinfold.operators.hierarchy import resolve
 from kinfold.operators.places import places
@@ -260,11 +260,43 @@ def json_fields(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("user_id", "id", number("media_info", "$.width").alias("width"), number("media_info", "$.height").alias("height"), number("doc_metadata", "$.pages").alias("pages"))
 
 
+def ancestors(spark: SparkSession, folder: str) -> DataFrame:
+    """Every folder's ancestors with their level, 1 for the parent; of folders that lead to a root."""
+    folders = _new(spark, folder, "folders", ["parent_id", "name"])
+    tree, _ = resolve(folders.where("user_id is not null and id is not null").select(F.col("user_id").alias("scope"), "id", F.col("parent_id").alias("parent"), "name"), Scratch(spark, "ancestors"))
+    each = tree.select("scope", "id", F.size("ancestors").alias("n"), F.posexplode("ancestors").alias("i", "ancestor_id"))
+    return each.select(F.col("scope").alias("user_id"), "id", "ancestor_id", (F.col("n") - F.col("i")).alias("level"))
+
+
+def folder_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """The kind that all files of a folder have, or 'mixed'."""
+    files = _new(spark, folder, "files", ["parent_id", "file_extension"]).where("user_id is not null and parent_id is not null")
+    kind = kinds.kind(F.lower("file_extension"))
+    both = files.groupBy("user_id", "parent_id").agg(F.min(kind).alias("a"), F.max(kind).alias("b"), F.count(F.lit(1)).alias("n"))
+    return both.select("user_id", "parent_id", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("mixed").alias("kind"), "n")
+
+
+def token_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """The greedy rule of name tokens of every folder's files, of a bounded sample of each user's."""
+    files = _new(spark, folder, "files", ["name", "parent_id"])
+    rows = files.select(F.col("user_id").alias("scope"), F.col("parent_id").alias("grp"), F.col("id").alias("item"), text.name_tokens(F.col("name")).alias("tokens"))
+    return explain.token_sets(rows, Scratch(spark, "sets")).withColumnsRenamed({"scope": "user_id", "grp": "parent_id"})
+
+
+def pair_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """Two-level trees that tell each user's positive pairs by their features, of a bounded sample."""
+    features = ["bigram_simil", "tree_dist", "bin_simil"]
+    some = _pairs(spark, folder, ["move_pred", *features])
+    rows = some.select(F.col("user_id").alias("scope"), F.concat_ws("|", "file_id_a", "file_id_b").alias("item"), F.col("move_pred").alias("label"), *features)
+    return explain.leaves(rows, features, Scratch(spark, "trees")).withColumnRenamed("scope", "user_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         file_kinds, file_names, listing, folder_counts, subtree_sizes, pair_names, pair_scores, pair_degrees, listing_changes, command_plan,
         command_headers, event_sessions, event_pairs, unaccepted, best_recommendations, action_counts, token_rules, range_rules, strata_sample, json_fields,
+        ancestors, folder_kinds, token_sets, pair_trees,
     )
 }
 
@@ -419,6 +451,19 @@ select user_id, parent_id, low, high, n_in, n_out, n_group, round(rec, 5) as rec
 select coalesce(find_pred::varchar, 'none') || '/' || coalesce(move_pred::varchar, 'none') as stratum, user_id, file_id_a, file_id_b,
   row_number() over (partition by find_pred, move_pred order by sha256(user_id || '|' || file_id_a || '|' || file_id_b)) as place
 from {_SQL_PAIRS} where user_id is not null qualify place <= 20
+""",
+    "ancestors": f"""
+with recursive fo as (select user_id, id, parent_id from {_sql_new('folders')} where user_id is not null and id is not null),
+n as (select a.user_id, a.id, b.id as parent from fo a left join fo b on a.user_id = b.user_id and a.parent_id = b.id),
+t(user_id, id, up) as (
+  select user_id, id, []::varchar[] from n where parent is null
+  union all select n.user_id, n.id, list_prepend(t.id, t.up) from t join n on n.user_id = t.user_id and n.parent = t.id
+)
+select user_id, id, unnest(up) as ancestor_id, generate_subscripts(up, 1)::integer as level from t
+""",
+    "folder_kinds": f"""
+select user_id, parent_id, case when min({_SQL_KIND}) = max({_SQL_KIND}) then min({_SQL_KIND}) else 'mixed' end as kind, count(*) as n
+from {_sql_new('files')} where user_id is not null and parent_id is not null group by all
 """,
     "json_fields": f"""
 select user_id, id, (media_info->>'$.width')::bigint as width, (media_info->>'$.height')::bigint as height, (doc_metadata->>'$.pages')::bigint as pages from {_sql_new('files')}
