@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import measures, text
+from kinfold.functions.stem import STOP_WORDS, stems
 from kinfold.operators import vectors
 from kinfold.operators.places import places
 from kinfold.operators.search import search
@@ -24,6 +25,14 @@ def doc_terms(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("term", "df", F.round("idf", 6).alias("idf"), ((F.col("df") >= 0.2 * n) & (F.col("df") <= 0.8 * n)).alias("kept"))
 
 
+def doc_stems(spark: SparkSession, folder: str) -> DataFrame:
+    """In how many documents each English stem stands, words without content left out; every word is stemmed once."""
+    counts = vectors.term_counts(table(spark, folder, "documents").select("doc_id", "text")).where(~F.col("term").isin(*sorted(STOP_WORDS)))
+    vocabulary = counts.select("term").distinct().select("term", stems("term").alias("stem"))
+    each = counts.join(vocabulary, "term").groupBy("doc_id", "stem").agg(F.sum("tf").alias("tf"))
+    return each.groupBy("stem").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
+
+
 def doc_next_cosine(spark: SparkSession, folder: str) -> DataFrame:
     """Cosine of the term weights of every document and the user's next one."""
     documents = table(spark, folder, "documents").select("doc_id", "user_id", "text")
@@ -111,7 +120,7 @@ def event_state(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (doc_terms, doc_next_cosine, doc_chunks, doc_search, doc_quartiles, doc_markup, emb_centroids, emb_nearest, share_rank, share_next, last_touch, event_state)
+    for f in (doc_terms, doc_stems, doc_next_cosine, doc_chunks, doc_search, doc_quartiles, doc_markup, emb_centroids, emb_nearest, share_rank, share_next, last_touch, event_state)
 }
 
 _WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\p{M}]+')"
