@@ -7,12 +7,38 @@ lead into a ring: of them, the ring is the set that the parent function, iterate
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.storage import Scratch
 
 LEVELS_PER_JOB = 2
+NODES_OF_A_TASK = 20_000  # when no more nodes than these are left, one task joins their levels
+
+
+def _rest_of_levels(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The levels below the frontier, joined in memory: of rows with a root_id (the frontier) and others (what is left)."""
+    parts = [part for part in rows if len(part)]
+    if not parts:
+        return
+    table = pd.concat(parts, ignore_index=True)
+    is_frontier = table["root_id"].notna()
+    children: dict[tuple, list[tuple]] = {}
+    for scope, i, parent, name in table.loc[~is_frontier, ["scope", "id", "parent", "name"]].itertuples(index=False):
+        children.setdefault((scope, parent), []).append((i, name))
+    frontier = [tuple(r) for r in table.loc[is_frontier, ["scope", "id", "root_id", "depth", "full_path", "ancestors"]].itertuples(index=False)]
+    while frontier:
+        below = [
+            (scope, child, root, int(depth) + 1, f"{path}/{name}", [*ancestors, i])
+            for scope, i, root, depth, path, ancestors in frontier
+            for child, name in children.get((scope, i), ())
+        ]
+        if below:
+            yield pd.DataFrame(below, columns=["scope", "id", "root_id", "depth", "full_path", "ancestors"])
+        frontier = below
 
 
 def _down(frontier: DataFrame, rest: DataFrame) -> DataFrame:
@@ -28,7 +54,7 @@ def _down(frontier: DataFrame, rest: DataFrame) -> DataFrame:
     )
 
 
-def resolve(nodes: DataFrame, scratch: Scratch, levels_per_job: int = LEVELS_PER_JOB) -> tuple[DataFrame, DataFrame]:
+def resolve(nodes: DataFrame, scratch: Scratch, levels_per_job: int = LEVELS_PER_JOB, nodes_of_a_task: int = NODES_OF_A_TASK) -> tuple[DataFrame, DataFrame]:
     """(scope, id, root_id, depth, full_path, ancestors) of all nodes that lead to a root, and the other nodes.
 
     nodes: (scope, id, parent, name), one row per (scope, id), none null. A parent that is null or no node of
@@ -42,7 +68,14 @@ def resolve(nodes: DataFrame, scratch: Scratch, levels_per_job: int = LEVELS_PER
     )
     rest = marked.where("has_parent").select("scope", "id", "parent", "name")
     frontier, left, depth = scratch.add(roots, "levels"), rest.count(), 0
+    since = 0
     while left:
+        if left <= nodes_of_a_task:
+            # only the parents of what is left matter of the frontier: no more than that
+            tops = frontier.join(rest.select("scope", F.col("parent").alias("id")).distinct(), ["scope", "id"], "left_semi").select(frontier.columns)
+            both = tops.unionByName(rest, allowMissingColumns=True).select("scope", "id", "parent", "name", *frontier.columns[2:])
+            scratch.add(both.coalesce(1).mapInPandas(_rest_of_levels, frontier.schema), "levels")
+            break
         levels = []
         for _ in range(levels_per_job):
             frontier = _down(frontier, rest)
@@ -56,15 +89,13 @@ def resolve(nodes: DataFrame, scratch: Scratch, levels_per_job: int = LEVELS_PER
         if not new:
             break
         if deepest < depth:
-            left -= new
-            rest = rest.join(block.select("scope", "id"), ["scope", "id"], "left_anti")
             break
-        frontier = block.where(F.col("depth") == depth)
-        if new > left // 4:
-            rest = scratch.cut(rest.join(block.select("scope", "id"), ["scope", "id"], "left_anti"), "rest")
-            left -= new
+        frontier, since = block.where(F.col("depth") == depth), since + new
+        if since > left // 4:
+            rest = scratch.cut(rest.join(scratch.all("levels", roots.schema).select("scope", "id"), ["scope", "id"], "left_anti"), "rest")
+            left, since = left - since, 0
     out = scratch.all("levels", roots.schema)
-    unreached = rest.join(out.select("scope", "id"), ["scope", "id"], "left_anti") if left else rest.limit(0)
+    unreached = rest.join(out.select("scope", "id"), ["scope", "id"], "left_anti")
     return out, unreached
 
 
@@ -84,7 +115,7 @@ def rings(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return step.select("scope", F.col("y").alias("id")).distinct()
 
 
-def hierarchy(nodes: DataFrame, items: DataFrame, scratch: Scratch, levels_per_job: int = LEVELS_PER_JOB) -> DataFrame:
+def hierarchy(nodes: DataFrame, items: DataFrame, scratch: Scratch, levels_per_job: int = LEVELS_PER_JOB, nodes_of_a_task: int = NODES_OF_A_TASK) -> DataFrame:
     """(scope, id, state, root_id, depth, n_nodes, n_items, full_path) of every node.
 
     nodes: (scope, id, parent, name), one row per (scope, id), rows with null scope or id left out; items: (scope,
@@ -93,7 +124,7 @@ def hierarchy(nodes: DataFrame, items: DataFrame, scratch: Scratch, levels_per_j
     If not 'tree', root_id and full_path are '' and the numbers -1. Items are counted per node before they are joined.
     """
     nodes = nodes.where("scope is not null and id is not null")
-    tree, lost = resolve(nodes, scratch, levels_per_job)
+    tree, lost = resolve(nodes, scratch, levels_per_job, nodes_of_a_task)
     held = items.where("scope is not null and parent is not null").groupBy("scope", F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("own"))
     tree = scratch.cut(tree.join(held, ["scope", "id"], "left").withColumn("own", F.coalesce("own", F.lit(0))), "tree")
     pairs = tree.select("scope", F.explode("ancestors").alias("id"), "own")
