@@ -138,7 +138,7 @@ class SessionTable:
         return self.table.read()
 
 
-def sessions(events: DataFrame, gap: int, arrived: str = "ingested_at", shares: tuple[float, ...] = (0.6, 0.85)) -> DataFrame:
+def sessions(events: DataFrame, gap: int, arrived: str = "ingested_at", shares: tuple[float, ...] = (0.7,)) -> DataFrame:
     """Sessions (key, start, end, n) of events (key, time, arrived), built through a `SessionTable`.
 
     The table takes the events in batches by order of arrival, cut at the given shares (approximate quantiles)

@@ -16,7 +16,7 @@ SESSION_GAP_S = 1800
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Sessions of each user's commands; the table takes them in three batches, in order of arrival."""
+    """Sessions of each user's commands; the table takes them in two batches, in order of arrival."""
     commands = newest(table(spark, folder, "command_history"), ["user_id", "rand_id"], columns=["time_run"])
     events = commands.where("time_run is not null and time_run <> 0").select(
         F.concat(F.lit("u"), "user_id").alias("key"), F.col("time_run").alias("time"), "ingested_at"
