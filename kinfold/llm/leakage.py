@@ -25,11 +25,14 @@ WINDOW = 10  # words of a fingerprint: a stretch with an edit here and there sti
 RADIUS = 8
 BITS = 64
 SHINGLES = 0.35  # share of the weight of an item's shingles that a stretch must hold
+APART = 4  # matching words between two edits of a stretch
 SHARED_OPENING = 3  # items that begin with the same sentence make it an instruction
 WORDS_A_PASS = 200_000
 
 _MARKUP = re.compile(r"<[^<>]{1,200}>|&[a-zA-Z#0-9]{1,8};|-[ \t]*\r?\n[ \t>]*(?=[a-z])")
 _WORD = re.compile(r"[^\W_]+")
+_NUMBER = re.compile(r"[\dol]+")  # as words() leaves them
+_OTHER, _OTHER_NUMBER = -1, -2  # codes of words and numbers that no item has
 _CONFUSED = str.maketrans({"0": "o", "1": "l"})
 
 
@@ -76,12 +79,12 @@ class Vocabulary:
     def find(self, word: str) -> int:
         n = self.seen.get(word)
         if n is None:
-            n = -1
+            n = other = _OTHER_NUMBER if _NUMBER.fullmatch(word) else _OTHER
             if 2 <= len(word) <= 40:
                 near = {i for c in (word, *_cut_one(word)) for i in self.cut.get(c, ())}
                 # of words below three letters, only swapped ones
                 near = [i for i in near if one_apart(word, self.known[i]) and (len(word) > 2 or sorted(word) == sorted(self.known[i]))]
-                n = min(near, default=-1)
+                n = min(near, default=other)
             if len(self.seen) > 2_000_000:
                 self.seen = dict(self.number)
             self.seen[word] = n
@@ -89,7 +92,7 @@ class Vocabulary:
 
 
 def _coded(known: list[str]):
-    """Documents as numbers of the items' words, -1 for others; those without WINDOW known words hold no stretch."""
+    """Documents as numbers of the items' words, below 0 for others; those without WINDOW known words hold no stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(known)
@@ -112,7 +115,7 @@ def _frequencies(n: int):
         df = np.zeros(n + 1, dtype=np.int64)
         for batch in batches:
             for codes in batch.column(0).to_pylist():
-                df[np.unique(np.frombuffer(codes, dtype=np.int32)) + 1] += 1
+                df[np.unique(np.maximum(np.frombuffer(codes, dtype=np.int32), -1)) + 1] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.array(df[1:], pa.int64())], names=["word", "df"])
 
     return run
@@ -129,10 +132,11 @@ class Index:
     """Fingerprints of all windows of the items, by block."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], known: list[str], weight: np.ndarray, radius: int = RADIUS, seed: int = 7):
-        self.items, self.weight, self.radius = items, np.append(weight, 0.0), radius
+        self.items, self.weight, self.radius = items, np.append(weight, [0.0, 0.0]), radius
+        self.number = np.array([bool(_NUMBER.fullmatch(w)) for w in known] + [True, False])
         # the planes follow from the words alone, so every run and every executor has the same
         planes = np.array([np.random.default_rng([seed, *w.encode()]).integers(0, 2, BITS) * 2.0 - 1 for w in known])
-        self.planes = np.concatenate([planes, np.zeros((1, BITS))]) * self.weight[:, None]
+        self.planes = np.concatenate([planes, np.zeros((2, BITS))]) * self.weight[:, None]
         prints, owner = [], []
         for n, (_, codes) in enumerate(items):
             p = self.fingerprints(codes)
@@ -212,39 +216,57 @@ class Index:
             pairs = part[:-1].astype(np.int64) * self.n_words + part[1:]
             held = np.isin(pairs, known) & (part[:-1] >= 0) & (part[1:] >= 0)
             weight = np.where(held, self.weight[part[:-1]] + self.weight[part[1:]], 0.0)
-            if _rolled(weight, STRETCH + 3).max() >= SHINGLES * mass and aligned_span(part, item) >= stretch:
+            if _rolled(weight, STRETCH + 3).max() >= SHINGLES * mass and aligned_span(part, item, self.number) >= stretch:
                 return True
         return False
 
 
-def aligned_span(part: np.ndarray, item: np.ndarray, edit: int = 3, quality: float = 0.4, least: int = STRETCH - 4) -> int:
-    """Words of the item in the longest stretch that the part holds in order.
+def aligned_span(part: np.ndarray, item: np.ndarray, number: np.ndarray | None = None, edit: int = 4, quality: float = 0.4, least: int = STRETCH - 4, apart: int = APART) -> int:
+    """Words of the item in the longest stretch that the part holds in order, 0 if there is none of STRETCH words.
 
-    Local alignment over the matching cells: a match counts 1, a single word changed, dropped or added `edit` less;
-    a stretch must keep `quality` of its words as its score, and at least `least`: what STRETCH words with one edit
-    score. Texts of the same pattern with other names and numbers stay below.
+    A stretch is a chain of matching cells that goes on over single words changed, dropped or added, at its start as at
+    its end. It counts if it has `least` words and `quality` of its words left when `edit` are taken off for each edit,
+    which STRETCH words with one edit have, or if its edits are `apart` matching words apart and none is of a number
+    (number: whether a code is one): texts of the same pattern with other names and numbers stay below that.
     """
     places: dict[int, list[int]] = {}
     for j, c in enumerate(item.tolist()):
         places.setdefault(c, []).append(j)
-    # (words of the part back, words of the item back, cost)
-    moves = ((1, 1, 0), (2, 2, edit), (2, 1, edit), (1, 2, edit))
-    rows: list[dict[int, tuple[int, int]]] = [{}, {}]
-    best = 0
+    digits = (lambda c: False) if number is None else (lambda c: bool(number[c]))
+    moves = ((2, 2), (2, 1), (1, 2))  # words of the part and of the item back
+    # the least origins of the chains that end in a cell: by their edits, and by the matches since the last edit
+    rows: list[dict[int, tuple[dict[int, int], dict[int, int]]]] = [{}, {}]
+    none: tuple[dict[int, int], dict[int, int]] = ({}, {})
+    best, before = 0, -1
     for c in part.tolist():
         new = {}
         for j in places.get(c, ()):
-            value, origin = 0, j
-            for back, left, cost in moves:
-                h = rows[-back].get(j - left)
-                if h is not None and h[0] - cost > value:
-                    value, origin = h[0] - cost, h[1]
-            new[j] = (value + 1, origin)
-            span = j - origin + 1
-            if span > best and value + 1 >= max(least, quality * span):
-                best = span
-        rows = [rows[1], new]
-    return best
+            chains, runs = {0: j}, {apart: j}
+            last = rows[-1].get(j - 1, none)
+            for k, origin in last[0].items():
+                chains[k] = min(origin, chains.get(k, j))
+            for run, origin in last[1].items():
+                run = min(run + 1, apart)
+                runs[run] = min(origin, runs.get(run, j))
+            for back, left in moves:
+                last = rows[-back].get(j - left, none)
+                for k, origin in last[0].items():
+                    chains[k + 1] = min(origin, chains.get(k + 1, j))
+                if apart in last[1] and not (back == 2 and digits(before) or left == 2 and digits(item[j - 1])):
+                    runs[1] = min(last[1][apart], runs.get(1, j))
+            # more edits are worth keeping for an earlier origin only
+            kept, first = {}, j + 1
+            for k in sorted(chains):
+                if chains[k] < first and edit * k <= len(item):
+                    kept[k] = first = chains[k]
+            new[j] = (kept, runs)
+            for k, origin in kept.items():
+                span = j - origin + 1
+                if span > best and span - edit * k >= max(least, quality * span):
+                    best = span
+            best = max(best, j - min(runs.values()) + 1)
+        rows, before = [rows[1], new], c
+    return best if best >= STRETCH else 0
 
 
 def _search(index: Index):

@@ -63,3 +63,21 @@ def test_alignment():
     often = same.copy()
     often[::4] = -1
     assert leakage.aligned_span(often, item) == 0
+
+
+def test_edits_anywhere_in_a_short_stretch():
+    item = np.arange(100, 160)
+    for length, edits in ((20, [1]), (20, [2]), (20, [18]), (21, [3]), (20, [4, 12]), (21, [2, 18]), (25, [3, 11, 19])):
+        changed = item[7 : 7 + length].copy()
+        changed[edits] = -1
+        dropped = np.delete(item[7 : 7 + length], edits)
+        for part in (changed, dropped):
+            assert leakage.aligned_span(np.concatenate([[-1, -1], part, [-1, -1]]), item) == length
+    assert leakage.aligned_span(item[7:26], item) == 0
+    # two edits in 22 words: a passage, unless numbers differ as in another text of the pattern
+    part, number = item[7:29].copy(), np.zeros(1000, dtype=bool)
+    part[[5, 16]] = -1
+    assert leakage.aligned_span(part, item, number) == 22
+    number[[item[23], -2]] = True
+    part[16] = -2
+    assert leakage.aligned_span(part, item, number) == 0
