@@ -1,7 +1,7 @@
 """Passages of held-out items inside documents.
 
 Documents and items become sequences of words free of case, markup, punctuation and the usual letter confusions;
-a word one letter away from an item's word counts as that word. Windows of both get SimHash fingerprints, weighted by
+a word one letter away from items' words counts as any of them. Windows of both get SimHash fingerprints, weighted by
 how rare a word is in the documents. A fingerprint within the radius of another agrees with it in at least one of
 radius + 1 blocks, so looking the blocks up finds every such pair. Candidates are verified exactly: by the weighted
 share of the item's word shingles in a stretch of the document, then by aligning the words.
@@ -74,36 +74,49 @@ class Vocabulary:
             if len(w) >= 2:
                 for c in {w, *_cut_one(w)}:
                     self.cut.setdefault(c, []).append(i)
-        self.seen: dict[str, int] = dict(self.number)
+        self.seen: dict[str, tuple[int, tuple[int, ...]]] = {w: (i, ()) for w, i in self.number.items()}
+
+    def near(self, word: str) -> tuple[int, ...]:
+        """The items' words one letter away."""
+        if not 2 <= len(word) <= 40:
+            return ()
+        near = {i for c in (word, *_cut_one(word)) for i in self.cut.get(c, ())}
+        # of words below three letters, only swapped ones
+        return tuple(i for i in sorted(near) if one_apart(word, self.known[i]) and (len(word) > 2 or sorted(word) == sorted(self.known[i])))
+
+    def look(self, word: str) -> tuple[int, tuple[int, ...]]:
+        """The number of a word, and of one that no item has: that of the first word a letter away, and those of all such words."""
+        found = self.seen.get(word)
+        if found is None:
+            near = self.near(word)
+            found = (near[0] if near else _OTHER_NUMBER if _NUMBER.fullmatch(word) else _OTHER, near)
+            if len(self.seen) > 2_000_000:
+                self.seen = {w: (i, ()) for w, i in self.number.items()}
+            self.seen[word] = found
+        return found
 
     def find(self, word: str) -> int:
-        n = self.seen.get(word)
-        if n is None:
-            n = other = _OTHER_NUMBER if _NUMBER.fullmatch(word) else _OTHER
-            if 2 <= len(word) <= 40:
-                near = {i for c in (word, *_cut_one(word)) for i in self.cut.get(c, ())}
-                # of words below three letters, only swapped ones
-                near = [i for i in near if one_apart(word, self.known[i]) and (len(word) > 2 or sorted(word) == sorted(self.known[i]))]
-                n = min(near, default=other)
-            if len(self.seen) > 2_000_000:
-                self.seen = dict(self.number)
-            self.seen[word] = n
-        return n
+        return self.look(word)[0]
 
 
 def _coded(known: list[str]):
-    """Documents as numbers of the items' words, below 0 for others; those without WINDOW known words hold no stretch."""
+    """Documents as numbers of the items' words, below 0 for others; those without WINDOW known words hold no stretch.
+
+    near: (place, number) of all the items' words that a word which no item has may stand for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(known)
         for batch in batches:
-            ids, codes = [], []
+            ids, codes, near = [], [], []
             for i, text in zip(batch.column(0), batch.column(1).to_pylist()):
-                found = np.array([vocabulary.find(w) for w in words(text)], dtype=np.int32)
+                looked = [vocabulary.look(w) for w in words(text)]
+                found = np.array([n for n, _ in looked], dtype=np.int32)
                 if (found >= 0).sum() >= WINDOW:
                     ids.append(i.as_py())
                     codes.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.binary())], names=["id", "codes"])
+                    near.append(np.array([(k, n) for k, (_, ns) in enumerate(looked) for n in ns], dtype=np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.binary()), pa.array(near, pa.binary())], names=["id", "codes", "near"])
 
     return run
 
@@ -154,8 +167,16 @@ class Index:
         for _, codes in items:
             pairs = codes[:-1].astype(np.int64) * len(known) + codes[1:]
             mass = self.weight[codes[:-1]] + self.weight[codes[1:]]
-            self.shingles.append((np.unique(pairs), float(_rolled(mass, STRETCH - 1).min())))
+            self.shingles.append((set(pairs.tolist()), float(_rolled(mass, STRETCH - 1).min())))
         self.n_words = len(known)
+        vocabulary = Vocabulary(known)
+        # a word of one item may be another item's word misspelt
+        self.beside = [vocabulary.near(w) for w in known]
+        self.members = [set(c.tolist()) for _, c in items]
+        self._others = np.array([c for b in self.beside for c in b], dtype=np.int64)
+        self._first = np.concatenate([[0], np.cumsum([len(b) for b in self.beside])])
+        owned = sorted((p, n) for n, (pairs, _) in enumerate(self.shingles) for p in pairs)
+        self.pairs, self.pair_owner = np.array([p for p, _ in owned]), np.array([n for _, n in owned])
 
     def _least(self, codes: np.ndarray) -> float:
         """Over the item's stretches, the least weight of the heaviest window in one."""
@@ -168,20 +189,79 @@ class Index:
         return ((prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
 
     def fingerprints(self, codes: np.ndarray) -> np.ndarray:
-        bits = _rolled(self.planes[codes], WINDOW) > 0
+        return self._prints(self.planes[codes])
+
+    @staticmethod
+    def _prints(planes: np.ndarray) -> np.ndarray:
+        bits = _rolled(planes, WINDOW) > 0
         return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
-    def near(self, codes: np.ndarray) -> dict[int, list[int]]:
+    def options(self, codes: np.ndarray, near: np.ndarray | None = None) -> list[tuple[tuple[int, bool], ...]]:
+        """The items' words that each word of a document may stand for (near: as of `_coded`), False for those that a
+        word of another item may stand for."""
+        out = [((c, True), *((b, False) for b in self.beside[c])) if c >= 0 else () for c in codes.tolist()]
+        misspelt: dict[int, list[int]] = {}
+        for k, n in (() if near is None else near.reshape(-1, 2).tolist()):
+            misspelt.setdefault(k, []).append(n)
+        for k, ns in misspelt.items():
+            out[k] = tuple((n, True) for n in ns)
+        return out
+
+    def _misspelt(self, codes: np.ndarray, near: np.ndarray) -> dict[int, list[int]]:
+        """Items that share three word pairs close to each other with the document if misspelt words are read otherwise
+        than the fingerprints do, and the places of the pairs."""
+        at, which = near.reshape(-1, 2).astype(np.int64).T
+        exact = codes >= 0
+        exact[at] = False
+        exact = np.flatnonzero(exact)
+        first, n = self._first[codes[exact]], np.diff(self._first)[codes[exact]]
+        more = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        place = np.concatenate([exact, at, np.repeat(exact, n)])
+        code = np.concatenate([codes[exact], which, self._others[more]])
+        read = np.concatenate([np.zeros(len(exact), bool), which != codes[at], np.ones(len(more), bool)])
+        order = np.argsort(place, kind="stable")
+        place, code, read = place[order], code[order], read[order]
+        lo, hi = np.searchsorted(place, place + 1), np.searchsorted(place, place + 2)
+        a = np.repeat(np.arange(len(place)), hi - lo)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+        some = read[a] | read[b]
+        a, b = a[some], b[some]
+        key = code[a] * self.n_words + code[b]
+        lo, hi = np.searchsorted(self.pairs, key), np.searchsorted(self.pairs, key, side="right")
+        held = np.flatnonzero(hi > lo)
+        hits: dict[int, set[int]] = {}
+        for k in held.tolist():
+            for owner in self.pair_owner[lo[k] : hi[k]].tolist():
+                hits.setdefault(owner, set()).add(int(place[a[k]]))
+        out = {}
+        for owner, places in hits.items():
+            ps = sorted(places)
+            close = sorted({p for x in zip(ps, ps[1:], ps[2:]) if x[2] - x[0] < STRETCH for p in x})
+            if close:
+                out[owner] = close
+        return out
+
+    def near(self, codes: np.ndarray, near: np.ndarray | None = None) -> dict[int, list[int]]:
         """Items with a window within the radius of one of the document's, and the places of the document's windows."""
         if len(codes) < WINDOW:
             return {}
-        mass = _rolled(self.weight[codes], WINDOW)
+        weight, planes = self.weight[codes], self.planes[codes]
+        if near is not None and len(near):  # the mean of all that a misspelt word may stand for
+            at, which = near.reshape(-1, 2).T
+            own, where = np.unique(at, return_inverse=True)
+            n = np.bincount(where)
+            weight[own] = np.bincount(where, weights=self.weight[which]) / n
+            planes[own] = 0.0
+            np.add.at(planes, at, self.planes[which])
+            planes[own] /= n[:, None]
+        mass = _rolled(weight, WINDOW)
         # every stretch of an item has a window of at least this weight, half of which edits may take
         at = np.flatnonzero(mass >= 0.5 * self.least)
+        others = {} if near is None else self._misspelt(codes, near)
         if not len(at):
-            return {}
+            return others
         lo, hi = int(at[0]), int(at[-1]) + WINDOW
-        prints = self.fingerprints(codes[lo:hi])[at - lo]
+        prints = self._prints(planes[lo:hi])[at - lo]
         found: dict[int, list[int]] = {}
         for k in range(0, len(prints), 256):
             some = prints[k : k + 256]
@@ -197,37 +277,43 @@ class Index:
             hits = np.unique(self.owner[other[close]].astype(np.int64) << 32 | at[k + which[close]])
             for n, i in zip((hits >> 32).tolist(), (hits & 0xFFFFFFFF).tolist()):
                 found.setdefault(n, []).append(i)
-        return found
+        return found | {n: sorted({*found.get(n, ()), *places}) for n, places in others.items()}
 
-    def verify(self, codes: np.ndarray, n: int, at: list[int], stretch: int = STRETCH) -> bool:
+    def verify(self, codes: np.ndarray, n: int, at: list[int], stretch: int = STRETCH, options: list[tuple[tuple[int, bool], ...]] | None = None) -> bool:
         """Whether the document holds a stretch of item n about one of the places."""
         item = self.items[n][1]
         known, mass = self.shingles[n]
+        members = self.members[n]
+        options = self.options(codes) if options is None else options
         reach = len(item) + STRETCH
         lo = 0
         while lo < len(at):  # places that are close share a region
             hi = lo
             while hi + 1 < len(at) and at[hi + 1] - at[hi] <= reach:
                 hi += 1
-            part = codes[max(0, at[lo] - reach) : at[hi] + WINDOW + reach]
+            region = slice(max(0, at[lo] - reach), at[hi] + WINDOW + reach)
+            part = codes[region]
             lo = hi + 1
             if len(part) < 2:
                 continue
-            pairs = part[:-1].astype(np.int64) * self.n_words + part[1:]
-            held = np.isin(pairs, known) & (part[:-1] >= 0) & (part[1:] >= 0)
-            weight = np.where(held, self.weight[part[:-1]] + self.weight[part[1:]], 0.0)
-            if _rolled(weight, STRETCH + 3).max() >= SHINGLES * mass and aligned_span(part, item, self.number) >= stretch:
+            own = [tuple(c for c in o if c[0] in members) for o in options[region]]
+            weight = np.zeros(len(part) - 1)
+            for k, (a, b) in enumerate(zip(own, own[1:])):
+                if a and b:
+                    weight[k] = max((self.weight[c] + self.weight[d] for c, _ in a for d, _ in b if c * self.n_words + d in known), default=0.0)
+            if _rolled(weight, STRETCH + 3).max() >= SHINGLES * mass and aligned_span(part, item, self.number, own) >= stretch:
                 return True
         return False
 
 
-def aligned_span(part: np.ndarray, item: np.ndarray, number: np.ndarray | None = None, edit: int = 4, quality: float = 0.4, least: int = STRETCH - 4, apart: int = APART) -> int:
+def aligned_span(part: np.ndarray, item: np.ndarray, number: np.ndarray | None = None, options: list[tuple[tuple[int, bool], ...]] | None = None, edit: int = 4, quality: float = 0.4, least: int = STRETCH - 4, apart: int = APART) -> int:
     """Words of the item in the longest stretch that the part holds in order, 0 if there is none of STRETCH words.
 
     A stretch is a chain of matching cells that goes on over single words changed, dropped or added, at its start as at
     its end. It counts if it has `least` words and `quality` of its words left when `edit` are taken off for each edit,
     which STRETCH words with one edit have, or if its edits are `apart` matching words apart and none is of a number
     (number: whether a code is one): texts of the same pattern with other names and numbers stay below that.
+    options: for each word of the part, all that it may stand for; what is False there must have no edit beside it.
     """
     places: dict[int, list[int]] = {}
     for j, c in enumerate(item.tolist()):
@@ -235,12 +321,12 @@ def aligned_span(part: np.ndarray, item: np.ndarray, number: np.ndarray | None =
     digits = (lambda c: False) if number is None else (lambda c: bool(number[c]))
     moves = ((2, 2), (2, 1), (1, 2))  # words of the part and of the item back
     # the least origins of the chains that end in a cell: by their edits, and by the matches since the last edit
-    rows: list[dict[int, tuple[dict[int, int], dict[int, int]]]] = [{}, {}]
-    none: tuple[dict[int, int], dict[int, int]] = ({}, {})
+    rows: list[dict[int, tuple[dict[int, int], dict[int, int], bool]]] = [{}, {}]
+    none: tuple[dict[int, int], dict[int, int], bool] = ({}, {}, False)
     best, before = 0, -1
-    for c in part.tolist():
+    for i, c in enumerate(part.tolist()):
         new = {}
-        for j in places.get(c, ()):
+        for j, firm in [(j, firm) for o, firm in (((c, True),) if options is None else options[i]) for j in places.get(o, ())]:
             chains, runs = {0: j}, {apart: j}
             last = rows[-1].get(j - 1, none)
             for k, origin in last[0].items():
@@ -248,8 +334,10 @@ def aligned_span(part: np.ndarray, item: np.ndarray, number: np.ndarray | None =
             for run, origin in last[1].items():
                 run = min(run + 1, apart)
                 runs[run] = min(origin, runs.get(run, j))
-            for back, left in moves:
+            for back, left in moves if firm else ():
                 last = rows[-back].get(j - left, none)
+                if not last[2]:
+                    continue
                 for k, origin in last[0].items():
                     chains[k + 1] = min(origin, chains.get(k + 1, j))
                 if apart in last[1] and not (back == 2 and digits(before) or left == 2 and digits(item[j - 1])):
@@ -259,7 +347,7 @@ def aligned_span(part: np.ndarray, item: np.ndarray, number: np.ndarray | None =
             for k in sorted(chains):
                 if chains[k] < first and edit * k <= len(item):
                     kept[k] = first = chains[k]
-            new[j] = (kept, runs)
+            new[j] = (kept, runs, firm)
             for k, origin in kept.items():
                 span = j - origin + 1
                 if span > best and span - edit * k >= max(least, quality * span):
@@ -273,10 +361,12 @@ def _search(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, items = [], []
-            for i, raw in zip(batch.column(0), batch.column(1).to_pylist()):
-                codes = np.frombuffer(raw, dtype=np.int32)
-                for n, at in index.near(codes).items():
-                    if index.verify(codes, n, at):
+            for i, raw, raw_near in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                codes, near = np.frombuffer(raw, dtype=np.int32), np.frombuffer(raw_near, dtype=np.int32)
+                options = None
+                for n, at in index.near(codes, near).items():
+                    options = index.options(codes, near) if options is None else options
+                    if index.verify(codes, n, at, options=options):
                         docs.append(i.as_py())
                         items.append(index.items[n][0])
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], names=["doc_id", "item_id"])
@@ -313,7 +403,7 @@ def leaks(documents: DataFrame, items: DataFrame, scratch: Scratch, words_a_pass
         number = {w: i for i, w in enumerate(known)}
         coded = [(i, np.array([number[w] for w in ws], dtype=np.int32)) for i, ws in texts]
         docs = documents.where("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), "text")
-        docs = scratch.cut(docs.mapInArrow(_coded(known), "id long, codes binary"), "coded")
+        docs = scratch.cut(docs.mapInArrow(_coded(known), "id long, codes binary, near binary"), "coded")
         n = docs.count()
         df = dict(docs.select("codes").mapInArrow(_frequencies(len(known)), "word int, df long").groupBy("word").agg(F.sum("df")).collect())
         weight = np.log((1 + n) / (1 + np.array([df.get(i, 0) for i in range(len(known))], dtype=float))) + 0.1

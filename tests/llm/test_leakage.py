@@ -81,3 +81,12 @@ def test_edits_anywhere_in_a_short_stretch():
     number[[item[23], -2]] = True
     part[16] = -2
     assert leakage.aligned_span(part, item, number) == 0
+
+
+def test_misspelt_words_stand_for_all_words_a_letter_away(spark, scratch):
+    # each word of the first item has a neighbour a letter away in the second, earlier in the alphabet
+    rng = random.Random(11)
+    right = ["".join(rng.choice("bdfgk") + rng.choice("aeiou") for _ in range(3)) + "z" for _ in range(30)]
+    items = [(1, " ".join(right)), (2, " ".join(x[:-1] + "c" for x in reversed(right)))]
+    for doc in ([x[:-1] + "m" for x in right], [x if n % 3 else x[:-1] + "c" for n, x in enumerate(right)]):
+        assert (1, 1) in find(spark, scratch, [(1, "some words " + " ".join(doc))], items)
