@@ -271,14 +271,17 @@ def truncated(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, source, at_limit, reason) of the texts that were cut inside a word, line or sentence, or end in a cutting mark.
 
     documents: (id bigint, source, text). Null and empty texts, and texts that end a sentence, aren't cut. Repeated
-    ids are judged each by itself. A null source is a source of its own.
+    ids are judged each by itself, exact copies of a text alike in a source, however many there are. A null source is a source of its own.
     """
-    texts = documents.where("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), "source", "text").where("trim(text) <> ''")
+    rows = documents.where("id is not null and text is not null and trim(text) <> ''").select(F.col("id").cast("long").alias("id"), "source", F.unhex(F.sha2("text", 256)).alias("h"), "text")
+    # exact copies of a text tell nothing more about its end: statistics and limits take one of them
+    texts = scratch.cut(rows.groupBy("h").agg(F.first("text").alias("text")), "texts")
+    held = scratch.cut(rows.select("id", "source", "h", F.length("text").alias("chars"), F.octet_length("text").alias("bytes")), "rows")
     total = texts.count()
     words = texts.select("text").mapInArrow(word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     common = frozenset(r[0] for r in words.where(F.col("n") >= max(3, COMMON * total)).select("word").collect())
 
-    sizes = texts.select("id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+    sizes = held.select("source", "h", "chars", "bytes").distinct()
     of_source = Window.partitionBy("source")
     limits = None
     for unit in ("chars", "bytes"):
@@ -288,15 +291,17 @@ def truncated(documents: DataFrame, scratch: Scratch) -> DataFrame:
     limits = limits.groupBy("l_source", "l_size").agg(F.max((F.col("unit") == "chars").cast("int")).alias("c"), F.max((F.col("unit") == "bytes").cast("int")).alias("b"))
 
     counts = texts.select("text").mapInArrow(statistics(common), "key long, a long, b long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    ends = scratch.cut(texts.select("id", "text").mapInArrow(endings(common), "id long, state int, keys array<long>"), "ends")
+    ends = scratch.cut(texts.select(F.col("h").alias("id"), "text").mapInArrow(endings(common), "id binary, state int, keys array<long>"), "ends")
     asked = ends.where("size(keys) > 0").select("id", F.posexplode("keys").alias("k", "key")).where("key <> 0")
     # one row a key, however many texts end alike
     known = scratch.cut(counts.join(asked.select("key").distinct(), "key", "left_semi"), "known")
     told = asked.join(known, "key").groupBy("id").pivot("k", [0, 1, 2, 3, 4, 5]).agg(F.max("a").alias("a"), F.max("b").alias("b"))
 
     has = sizes.join(limits, sizes["source"].eqNullSafe(limits["l_source"]) & ((F.col("chars") == F.col("l_size")) & (F.col("c") == 1) | (F.col("bytes") == F.col("l_size")) & (F.col("b") == 1)), "left")
-    has = has.groupBy("id", "source").agg(F.max(F.col("l_size").isNotNull()).alias("at_limit"))
-    judged = ends.select("id", "state").join(has, "id").join(told, "id", "left")
+    has = has.groupBy("source", "h").agg(F.max(F.col("l_size").isNotNull()).alias("at_limit"))
+    judged = ends.select("id", "state").join(told, "id", "left").withColumnRenamed("id", "h").join(has, "h").withColumnsRenamed({"h": "j_h", "source": "j_source"})
+    copies = held.select("id", "source", "h")
+    judged = copies.join(judged, (copies["h"] == F.col("j_h")) & copies["source"].eqNullSafe(F.col("j_source")))
 
     def n(k: int, what: str) -> F.Column:
         return F.coalesce(F.col(f"{k}_{what}"), F.lit(0))

@@ -48,3 +48,12 @@ def test_tails_are_those_of_the_whole_text():
     for _ in range(50):
         t = text(rng, rng.randrange(1, 30))[: rng.randrange(5, 2500)].replace(" in ", "\n\nin ")
         assert truncation.last_tokens(t)[-8:] == truncation.tokens(t)[-8:]
+
+
+def test_copies_of_a_cut_text_are_no_evidence(spark, scratch):
+    rng = random.Random(10)
+    docs = [(i, "mail", text(rng, 4)) for i in range(300)]
+    cut = text(rng, 3) + " Please do not delete the"
+    docs += [(1000 + i, "mail", cut) for i in range(150)]
+    got = found(spark, scratch, docs)
+    assert got == {1000 + i: "sentence" for i in range(150)}
