@@ -105,6 +105,7 @@ class Coder:
 
 # kinds of keys; each row of statistics is (key, a, b): meanings below
 _WORD, _LONGER, _CONTEXT = _number("word"), _number("longer"), {n - 1: _number(f"context {n}") for n in (1, 2, 3, 6)}
+_DOT = {n: _number(f"dot {n + 1}") for n in _CONTEXT}
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +149,8 @@ def statistics(common: frozenset[str]):
     """What follows every context, and the prefixes of every word after another, added up over a batch.
 
     Context keys (1, 2, 3 and 6 tokens): a = times at all, b = times that a line, sentence or text ends there. Word keys
-    (token before, word): a = times. Prefix keys (token before, strict prefix): a = times of longer words.
+    (token before, word): a = times. Dot keys (contexts before a dot): a = times, b = times that no letter or digit follows
+    the dot. Prefix keys (token before, strict prefix): a = times of longer words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +172,7 @@ def statistics(common: frozenset[str]):
             before, follow = np.concatenate([[0], at[:-1]]), np.concatenate([at[1:], [0]])
             # the dot after a number that begins a line ends nothing
             ends = (follow <= 1) | terminal[follow] & ~(digits[at] & (before <= 1))
+            inner, dot = follow == number.get("\x01", -1), (follow == number.get(".", -1)) & ~(digits[at] & (before <= 1))
             real, out = at > 0, []
             context, whole = last[at], real.copy()
             for n in range(width):
@@ -179,6 +182,9 @@ def statistics(common: frozenset[str]):
                 if n in _CONTEXT:
                     own = context[whole]
                     out.append(_added(_mix(own, np.full(len(own), _CONTEXT[n])), np.ones(len(own)), ends[n:][whole]))
+                    dots = whole & (inner | dot)[n:]
+                    own = context[dots]
+                    out.append(_added(_mix(own, np.full(len(own), _DOT[n])), np.ones(len(own)), dot[n:][dots]))
             # words after what precedes them, the last of a text left out
             pair = real & spoken[at] & (follow > 0)
             kinds, kind = np.unique(loose[np.maximum(before[pair], 1)], return_inverse=True)
@@ -221,6 +227,16 @@ def _short_row(text: str) -> bool:
 def endings(common: frozenset[str]):
     """How a text ends: sure = cut for certain, open = to be looked up; and the keys to look up."""
 
+    def contexts(coder: Coder, ts: list[str], kinds: dict[int, int]) -> list[int]:
+        keys = []
+        context = coder.last(ts[-1])
+        for n in range(max(kinds) + 1):
+            if n and n < len(ts):
+                context = _one(context, coder.loose(ts[-1 - n]))
+            if n in kinds:
+                keys.append(_one(context, kinds[n]) if n < len(ts) else 0)
+        return keys
+
     def one(coder: Coder, text: str) -> tuple[int, list[int]]:
         end = text.rstrip()
         if not end:
@@ -242,18 +258,16 @@ def endings(common: frozenset[str]):
         if _BEGUN.fullmatch(last_line):
             return state | 4, []
         if ts[-1] in _TERMINAL or end[-1] in ".!?":
-            return state & ~1, []
+            # a dot right behind a letter or digit may be one inside a name, a number or an abbreviation
+            if mark or ts[-1] != "." or len(ts) < 2 or text[-1] != "." or not text[-2].isalnum():
+                return state & ~1, []
+            return state & ~1 | 8, [0] * (2 + len(_CONTEXT)) + contexts(coder, ts[:-1], _DOT)
         before = coder.loose(ts[-2] if len(ts) > 1 else "\n")
         keys = []
         word = ts[-1][0].isalnum() and text[-1:].isalnum() or bool(mark) and ts[-1][0].isalnum()
         w = _one(before, coder.exact(ts[-1]))
         keys += [_one(w, _WORD), _one(w, _LONGER)] if word else [0, 0]
-        context = coder.last(ts[-1])
-        for n in range(max(_CONTEXT) + 1):
-            if n and n < len(ts):
-                context = _one(context, coder.loose(ts[-1 - n]))
-            if n in _CONTEXT:
-                keys.append(_one(context, _CONTEXT[n]) if n < len(ts) else 0)
+        keys += contexts(coder, ts, _CONTEXT)
         return state, keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +284,8 @@ def endings(common: frozenset[str]):
 def truncated(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, source, at_limit, reason) of the texts that were cut inside a word, line or sentence, or end in a cutting mark.
 
-    documents: (id bigint, source, text). Null and empty texts, and texts that end a sentence, aren't cut. Repeated
+    documents: (id bigint, source, text). Null and empty texts, and texts that end a sentence, aren't cut; a last dot is
+    looked up too, as it may be one inside a name or number. Repeated
     ids are judged each by itself, exact copies of a text alike in a source, however many there are. A null source is a source of its own.
     """
     rows = documents.where("id is not null and text is not null and trim(text) <> ''").select(F.col("id").cast("long").alias("id"), "source", F.unhex(F.sha2("text", 256)).alias("h"), "text")
@@ -295,7 +310,7 @@ def truncated(documents: DataFrame, scratch: Scratch) -> DataFrame:
     asked = ends.where("size(keys) > 0").select("id", F.posexplode("keys").alias("k", "key")).where("key <> 0")
     # one row a key, however many texts end alike
     known = scratch.cut(counts.join(asked.select("key").distinct(), "key", "left_semi"), "known")
-    told = asked.join(known, "key").groupBy("id").pivot("k", [0, 1, 2, 3, 4, 5]).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    told = asked.join(known, "key").groupBy("id").pivot("k", list(range(2 + len(_CONTEXT) + len(_DOT)))).agg(F.max("a").alias("a"), F.max("b").alias("b"))
 
     has = sizes.join(limits, sizes["source"].eqNullSafe(limits["l_source"]) & ((F.col("chars") == F.col("l_size")) & (F.col("c") == 1) | (F.col("bytes") == F.col("l_size")) & (F.col("b") == 1)), "left")
     has = has.groupBy("source", "h").agg(F.max(F.col("l_size").isNotNull()).alias("at_limit"))
@@ -311,10 +326,16 @@ def truncated(documents: DataFrame, scratch: Scratch) -> DataFrame:
     marked = F.col("state").bitwiseAND(2) > 0
     sure = F.col("state").bitwiseAND(4) > 0
     in_word = open_ & (n(1, "a") > 0) & (n(1, "a") >= 20 * n(0, "a"))
-    share = None
-    for k, least in ((5, 8), (4, 8), (3, 8), (2, 1)):
-        s = F.when(n(k, "a") - 1 >= least, (n(k, "b") - 1) / (n(k, "a") - 1))
-        share = s if share is None else F.coalesce(share, s)
-    runs_on = open_ & F.when(F.col("at_limit"), share < 0.5).otherwise(share < 0.03)
+    dotted = F.col("state").bitwiseAND(8) > 0
+
+    def goes_on(first: int) -> F.Column:
+        share = None
+        for k, least in ((3, 8), (2, 8), (1, 8), (0, 1)):
+            s = F.when(n(first + k, "a") - 1 >= least, (n(first + k, "b") - 1) / (n(first + k, "a") - 1))
+            share = s if share is None else F.coalesce(share, s)
+        return F.when(F.col("at_limit"), share < 0.5).otherwise(share < 0.03)
+
+    in_word = in_word | dotted & goes_on(2 + len(_CONTEXT))
+    runs_on = open_ & goes_on(2)
     reason = F.when(marked & F.col("at_limit"), "mark").when(sure, "line").when(in_word, "word").when(runs_on, "sentence")
     return judged.withColumn("reason", reason).where("reason is not null").select("id", "source", "at_limit", "reason")

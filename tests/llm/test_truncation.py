@@ -57,3 +57,10 @@ def test_copies_of_a_cut_text_are_no_evidence(spark, scratch):
     docs += [(1000 + i, "mail", cut) for i in range(150)]
     got = found(spark, scratch, docs)
     assert got == {1000 + i: "sentence" for i in range(150)}
+
+
+def test_a_last_dot_inside_a_name(spark, scratch):
+    rng = random.Random(12)
+    docs = [(i, "mail", text(rng, 4) + f" See {rng.choice(NOUNS)}_old.txt and {rng.choice(NOUNS)}_new.csv for it.") for i in range(300)]
+    docs += [(1000, "mail", text(rng, 3) + " See garden_old."), (1001, "mail", text(rng, 3) + " See garden_old.txt and roster_new."), (1002, "mail", text(rng, 3))]
+    assert found(spark, scratch, docs) == {1000: "word", 1001: "word"}
