@@ -1,8 +1,8 @@
 """Decision rules for groups: greedy token sets and two-level trees, one group a task run.
 
 A group is a set of items of a scope that a rule should tell from the others. Both searches look at a sample of each
-group and of what lies outside, of a bounded number of rows drawn by hash: that is a step of the methods, as the
-number of rules they try grows with the square of the rows.
+scope, of a bounded number of rows drawn by hash, as the number of rules they try grows with the square of the rows.
+The leaves of trees are then counted over all rows; the scores of token sets are still those of the sample.
 """
 
 from __future__ import annotations
@@ -73,19 +73,18 @@ def best_split(x: np.ndarray, y: np.ndarray) -> tuple[float, int, float] | None:
     return best
 
 
-def tree(x: np.ndarray, y: np.ndarray, names: list[str], depth: int = 2) -> list[tuple[str, int, int]]:
-    """(clause, rows, positive rows) of the leaves of a tree of the depth."""
+def tree(x: np.ndarray, y: np.ndarray, names: list[str], depth: int = 2) -> list[tuple[str, list[int], list[float], list[bool]]]:
+    """The leaves of a tree of the depth: the clause, and its features, thresholds and whether it takes the values up to them."""
 
-    def grow(at: np.ndarray, clause: str, d: int) -> list[tuple[str, int, int]]:
-        pos = int(y[at].sum())
-        split = best_split(x[at], y[at]) if d and 0 < pos < len(at) else None
+    def grow(at: np.ndarray, clause: str, path: list[tuple[int, float, bool]], d: int) -> list[tuple[str, list[int], list[float], list[bool]]]:
+        split = best_split(x[at], y[at]) if d and 0 < y[at].sum() < len(at) else None
         if split is None:
-            return [(clause or "all", len(at), pos)]
+            return [(clause or "all", [f for f, _, _ in path], [t for _, t, _ in path], [low for _, _, low in path])]
         _, f, t = split
         low, to = x[at, f] <= t, " and " if clause else ""
-        return grow(at[low], f"{clause}{to}{names[f]} <= {t:g}", d - 1) + grow(at[~low], f"{clause}{to}{names[f]} > {t:g}", d - 1)
+        return grow(at[low], f"{clause}{to}{names[f]} <= {t:g}", [*path, (f, t, True)], d - 1) + grow(at[~low], f"{clause}{to}{names[f]} > {t:g}", [*path, (f, t, False)], d - 1)
 
-    return grow(np.arange(len(y)), "", depth)
+    return grow(np.arange(len(y)), "", [], depth)
 
 
 def token_sets(rows: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> DataFrame:
@@ -112,16 +111,23 @@ def token_sets(rows: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> DataF
 def leaves(rows: DataFrame, features: list[str], scratch: Scratch, depth: int = 2, sample: int = SAMPLE) -> DataFrame:
     """(scope, clause, n, n_positive): leaves of the decision tree of each scope (rows: scope, item, label boolean, features).
 
-    Rows with a null label or a null or NaN feature are left out; at most `sample` rows a scope, drawn by SHA-256 of the item.
+    Rows with a null label or a null or NaN feature are left out. The tree is made from at most `sample` rows a scope,
+    drawn by SHA-256 of the item; n and n_positive count all rows.
     """
     ok = rows.where("scope is not null and item is not null and label is not null")
     for f in features:
         ok = ok.where(F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")))
-    some = places(ok.select("scope", F.sha2("item", 256).alias("h"), "item", "label", *(F.col(f).cast("double").alias(f) for f in features)), ["scope"], ["h", "item"], scratch, n=sample)
+    ok = scratch.cut(ok.select("scope", "item", "label", *(F.col(f).cast("double").alias(f) for f in features)), "rows")
+    some = places(ok.select("scope", F.sha2("item", 256).alias("h"), "item", "label", *features), ["scope"], ["h", "item"], scratch, n=sample)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("place")
         out = tree(part[features].to_numpy(dtype=float), part["label"].to_numpy(dtype=float), features, depth)
-        return pd.DataFrame([(part["scope"].iloc[0], *leaf) for leaf in out], columns=["scope", "clause", "n", "n_positive"])
-
-    return some.groupBy("scope").applyInPandas(run, "scope string, clause string, n long, n_positive long")
+        return pd.DataFrame([(part["scope"].iloc[0], *leaf) for leaf in out], columns=["l_scope", "clause", "f", "t", "low"])
+
+    made = some.groupBy("scope").applyInPandas(run, "l_scope string, clause string, f array<int>, t array<double>, low array<boolean>")
+    made = scratch.cut(made.select("l_scope", "clause", F.arrays_zip("f", "t", "low").alias("path")), "leaves")
+    all_rows = ok.select("scope", F.col("label").cast("long").alias("positive"), F.array(*features).alias("v"))
+    fits = F.forall("path", lambda p: (F.get(F.col("v"), p["f"]) <= p["t"]) == p["low"])
+    counted = all_rows.join(made, (F.col("scope") == F.col("l_scope")) & fits).groupBy("scope", "clause")
+    return counted.agg(F.count(F.lit(1)).alias("n"), F.sum("positive").alias("n_positive"))

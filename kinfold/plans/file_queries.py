@@ -284,7 +284,7 @@ def token_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pair_trees(spark: SparkSession, folder: str) -> DataFrame:
-    """Two-level trees that tell each user's positive pairs by their features, of a bounded sample."""
+    """Two-level trees that tell each user's positive pairs by their features, made from a bounded sample and counted over all pairs."""
     features = ["bigram_simil", "tree_dist", "bin_simil"]
     some = _pairs(spark, folder, ["move_pred", *features])
     rows = some.select(F.col("user_id").alias("scope"), F.concat_ws("|", "file_id_a", "file_id_b").alias("item"), F.col("move_pred").alias("label"), *features)

@@ -45,3 +45,10 @@ def test_sets_and_quotas(spark):
         taken = sets.quotas(total, available)
         assert sum(taken) == min(total, sum(available)) and all(t <= a for t, a in zip(taken, available))
     assert sets.quotas(9, [1, 9, 9]) == [1, 4, 4]
+
+
+def test_leaves_count_all_rows_not_the_sample(spark, scratch):
+    rows = [("u", f"{i}", i >= 50, float(i >= 50), float(i % 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "scope string, item string, label boolean, f double, g double")
+    found = {tuple(r) for r in explain.leaves(df, ["f", "g"], scratch, sample=40).collect()}
+    assert found == {("u", "f <= 0.5", 50, 0), ("u", "f > 0.5", 150, 150)}
