@@ -1,121 +1,120 @@
 """Hierarchies from parent links: paths, depths, roots, descendants and cycles.
 
-Frontiers move down from the roots level by level; a join of the frontier with the nodes that aren't reached yet
-extends paths, depths and the list of ancestors. Ancestor pairs give the descendants. Nodes that no frontier reaches
-lead into a ring: of them, the ring is the set that the parent function, iterated often enough, still hits.
+Frontiers move down from the roots; a join of the frontier with the nodes that aren't reached yet extends paths, depths
+and the list of ancestors. Every such node knows its nearest ancestors, so a frontier is several levels wide and a join
+takes as many at once; what is left after a round doubles its steps, and the next frontiers are twice as wide. Ancestor
+pairs give the descendants. Nodes that no frontier reaches lead into a ring: of them, the ring is the set that the
+parent function, iterated often enough, still hits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.storage import Scratch
 
-LEVELS_PER_JOB = 2
-NODES_OF_A_TASK = 20_000  # when no more nodes than these are left, one task joins their levels
-
-
-def _rest_of_levels(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The levels below the frontier, joined in memory: of rows with a root_id (the frontier) and others (what is left)."""
-    parts = [part for part in rows if len(part)]
-    if not parts:
-        return
-    table = pd.concat(parts, ignore_index=True)
-    is_frontier = table["root_id"].notna()
-    children: dict[tuple, list[tuple]] = {}
-    for scope, i, parent, name in table.loc[~is_frontier, ["scope", "id", "parent", "name"]].itertuples(index=False):
-        children.setdefault((scope, parent), []).append((i, name))
-    frontier = [tuple(r) for r in table.loc[is_frontier, ["scope", "id", "root_id", "depth", "full_path", "ancestors"]].itertuples(index=False)]
-    while frontier:
-        below = [
-            (scope, child, root, int(depth) + 1, f"{path}/{name}", [*ancestors, i])
-            for scope, i, root, depth, path, ancestors in frontier
-            for child, name in children.get((scope, i), ())
-        ]
-        if below:
-            yield pd.DataFrame(below, columns=["scope", "id", "root_id", "depth", "full_path", "ancestors"])
-        frontier = below
+WIDTH = 4  # levels of the first frontier
+
+
+def _longer(steps: DataFrame, upper: DataFrame) -> DataFrame:
+    """Steps with those of their tops put before them."""
+    u = upper.select("scope", F.col("id").alias("top"), F.col("top").alias("top2"), F.col("above").alias("above2"), F.col("names").alias("names2"))
+    both = steps.join(u, ["scope", "top"])
+    return both.select("scope", "id", F.col("top2").alias("top"), F.concat("above2", "above").alias("above"), F.concat("names2", "names").alias("names"))
+
+
+def _steps(nodes: DataFrame, scratch: Scratch, width: int) -> tuple[DataFrame, int]:
+    """(scope, id, top, above, names): of every node the ids of its `width` nearest ancestors, the farthest (top) first,
+    and the names below top down to its own; top is null if a root comes before, above and names then begin at the root.
+
+    Steps of one level are joined with each other, so that they double. With it the number of nodes that have a top.
+    """
+    known = nodes.select("scope", F.col("id").alias("parent"), F.lit(True).alias("has_parent"))
+    steps = nodes.join(known, ["scope", "parent"], "left").select(
+        "scope",
+        "id",
+        F.when(F.col("has_parent"), F.col("parent")).alias("top"),
+        F.when(F.col("has_parent"), F.array("parent")).otherwise(F.array().cast("array<string>")).alias("above"),
+        F.array("name").alias("names"),
+    )
+    open_ = F.sum(F.col("top").isNotNull().cast("long"))
+    (steps, seen), reach = scratch.measured(steps, "steps", n=open_), 1
+    while reach < width:
+        longer = _longer(steps.where("top is not null"), steps)
+        old, reach = steps, reach * 2
+        steps, seen = scratch.measured(steps.where("top is null").unionByName(longer), "steps", n=open_)
+        scratch.drop(old)
+    return steps, seen["n"] or 0
 
 
 def _down(frontier: DataFrame, rest: DataFrame) -> DataFrame:
-    """The children of the frontier's nodes."""
-    f = frontier.select("scope", F.col("id").alias("parent"), "root_id", "depth", "full_path", "ancestors")
-    return rest.join(f, ["scope", "parent"]).select(
+    """The nodes as many levels below the frontier's nodes as their steps go up: those whose top is one of them."""
+    f = frontier.select("scope", F.col("id").alias("top"), "root_id", "depth", "full_path", "ancestors")
+    return rest.join(f, ["scope", "top"]).select(
         "scope",
         "id",
         "root_id",
-        (F.col("depth") + 1).alias("depth"),
-        F.concat("full_path", F.lit("/"), "name").alias("full_path"),
-        F.concat("ancestors", F.array("parent")).alias("ancestors"),
+        (F.col("depth") + F.size("above")).cast("long").alias("depth"),
+        F.concat("full_path", F.lit("/"), F.array_join("names", "/")).alias("full_path"),
+        F.concat("ancestors", "above").alias("ancestors"),
     )
 
 
-def resolve(nodes: DataFrame, scratch: Scratch, levels_per_job: int = LEVELS_PER_JOB, nodes_of_a_task: int = NODES_OF_A_TASK) -> tuple[DataFrame, DataFrame]:
-    """(scope, id, root_id, depth, full_path, ancestors) of all nodes that lead to a root, and the other nodes.
+def resolve(nodes: DataFrame, scratch: Scratch, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """(scope, id, root_id, depth, full_path, ancestors) of all nodes that lead to a root, and (scope, id, parent) of the
+    other nodes, parent being an ancestor a fixed number of levels up.
 
     nodes: (scope, id, parent, name), one row per (scope, id), none null. A parent that is null or no node of
-    the scope makes a root of depth 0; a null name counts as ''. There is no bound on the depth.
+    the scope makes a root of depth 0; a null name counts as ''. There is no bound on the depth. width: levels of the
+    first frontier, a power of two; each round takes two frontiers and then doubles the steps of what is left.
     """
+    if width < 1 or width & (width - 1):
+        raise ValueError("width must be a power of two")
     nodes = scratch.cut(nodes.select("scope", "id", "parent", F.coalesce("name", F.lit("")).alias("name")), "nodes")
-    known = nodes.select("scope", F.col("id").alias("parent"), F.lit(True).alias("has_parent"))
-    marked = scratch.cut(nodes.join(known, ["scope", "parent"], "left").select("scope", "id", "parent", "name", "has_parent"), "marked")
-    roots = marked.where("has_parent is null").select(
-        "scope", "id", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), F.concat(F.lit("/"), "name").alias("full_path"), F.array().cast("array<string>").alias("ancestors")
+    steps, left = _steps(nodes, scratch, width)
+    first = steps.where("top is null").select(
+        "scope",
+        "id",
+        F.coalesce(F.get("above", F.lit(0)), "id").alias("root_id"),
+        F.size("above").cast("long").alias("depth"),
+        F.concat(F.lit("/"), F.array_join("names", "/")).alias("full_path"),
+        F.col("above").alias("ancestors"),
     )
-    rest = marked.where("has_parent").select("scope", "id", "parent", "name")
-    frontier, left, depth = scratch.add(roots, "levels"), rest.count(), 0
-    since = 0
+    (frontier, _), rest, schema = scratch.add(first, "levels"), steps.where("top is not null"), first.schema
     while left:
-        if left <= nodes_of_a_task:
-            # only the parents of what is left matter of the frontier: no more than that
-            tops = frontier.join(rest.select("scope", F.col("parent").alias("id")).distinct(), ["scope", "id"], "left_semi").select(frontier.columns)
-            both = tops.unionByName(rest, allowMissingColumns=True).select("scope", "id", "parent", "name", *frontier.columns[2:])
-            scratch.add(both.coalesce(1).mapInPandas(_rest_of_levels, frontier.schema), "levels")
-            break
-        levels = []
-        for _ in range(levels_per_job):
-            frontier = _down(frontier, rest)
-            levels.append(frontier)
-        block = levels[0]
-        for level in levels[1:]:
-            block = block.unionByName(level)
-        block = scratch.add(block, "levels")
-        depth += levels_per_job
-        new, deepest = block.agg(F.count(F.lit(1)), F.max("depth")).first()
-        if not new:
-            break
-        if deepest < depth:
+        next_ = _down(frontier, rest)
+        frontier, seen = scratch.add(next_.unionByName(_down(next_, rest)), "levels", n=F.count(F.lit(1)))
+        left -= seen["n"]
+        if not left or not seen["n"]:
             break
-        frontier, since = block.where(F.col("depth") == depth), since + new
-        if since > left // 4:
-            rest = scratch.cut(rest.join(scratch.all("levels", roots.schema).select("scope", "id"), ["scope", "id"], "left_anti"), "rest")
-            left, since = left - since, 0
-    out = scratch.all("levels", roots.schema)
-    unreached = rest.join(out.select("scope", "id"), ["scope", "id"], "left_anti")
+        # what is still left has its top among what is left
+        rest = scratch.cut(_longer(rest, rest).join(frontier.select("scope", "id"), ["scope", "id"], "left_anti"), "rest")
+    out = scratch.all("levels", schema)
+    unreached = rest.join(out.select("scope", "id"), ["scope", "id"], "left_anti").select("scope", "id", F.col("top").alias("parent"))
     return out, unreached
 
 
 def rings(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(scope, id) of the nodes on a ring, of nodes (scope, id, parent) that all lead into one.
+    """(scope, id) of the nodes on a ring, of nodes (scope, id, parent) that all lead into one; parent may be an ancestor
+    a fixed number of levels up.
 
     The image of the parent function, doubled each time, shrinks until the function permutes it: the rings.
     """
-    step = scratch.cut(nodes.select("scope", F.col("id").alias("x"), F.col("parent").alias("y")), "step")
+    step = nodes.select("scope", F.col("id").alias("x"), F.col("parent").alias("y"))
     image = step.select("scope", "y").distinct().count()
     while image:
-        onward = step.select("scope", F.col("x").alias("y"), F.col("y").alias("z"))
-        step = scratch.cut(step.join(onward, ["scope", "y"]).select("scope", "x", F.col("z").alias("y")), "step")
+        for _ in range(2):
+            onward = step.select("scope", F.col("x").alias("y"), F.col("y").alias("z"))
+            step = step.join(onward, ["scope", "y"]).select("scope", "x", F.col("z").alias("y"))
+        step = scratch.cut(step, "step")
         last, image = image, step.select("scope", "y").distinct().count()
         if image == last:
             break
     return step.select("scope", F.col("y").alias("id")).distinct()
 
 
-def hierarchy(nodes: DataFrame, items: DataFrame, scratch: Scratch, levels_per_job: int = LEVELS_PER_JOB, nodes_of_a_task: int = NODES_OF_A_TASK) -> DataFrame:
+def hierarchy(nodes: DataFrame, items: DataFrame, scratch: Scratch, width: int = WIDTH) -> DataFrame:
     """(scope, id, state, root_id, depth, n_nodes, n_items, full_path) of every node.
 
     nodes: (scope, id, parent, name), one row per (scope, id), rows with null scope or id left out; items: (scope,
@@ -124,7 +123,7 @@ def hierarchy(nodes: DataFrame, items: DataFrame, scratch: Scratch, levels_per_j
     If not 'tree', root_id and full_path are '' and the numbers -1. Items are counted per node before they are joined.
     """
     nodes = nodes.where("scope is not null and id is not null")
-    tree, lost = resolve(nodes, scratch, levels_per_job, nodes_of_a_task)
+    tree, lost = resolve(nodes, scratch, width)
     held = items.where("scope is not null and parent is not null").groupBy("scope", F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("own"))
     tree = scratch.cut(tree.join(held, ["scope", "id"], "left").withColumn("own", F.coalesce("own", F.lit(0))), "tree")
     pairs = tree.select("scope", F.explode("ancestors").alias("id"), "own")
