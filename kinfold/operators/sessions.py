@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from kinfold.storage import Scratch, VersionedTable
 
-BUCKET_S, FANOUT, PARTS = 6 * 3600, 1024, 16
+BUCKET_S, FANOUT, PARTS, SPAN_S = 6 * 3600, 1024, 16, 7 * 86400
 
 SCHEMA = T.StructType(
     [
@@ -43,12 +43,6 @@ def _merge_level(df: DataFrame, base: int, width: int, gap: int) -> DataFrame:
     return placed.groupBy("key", "bucket", "c", "last").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
 
 
-def span(df: DataFrame) -> tuple[int, int] | None:
-    """Least start and greatest end, None without rows."""
-    lo, hi = df.agg(F.min("start"), F.max("end")).first()
-    return None if lo is None else (lo, hi)
-
-
 def merge_intervals(df: DataFrame, gap: int, limits: tuple[int, int], bucket_s: int = BUCKET_S, fanout: int = FANOUT) -> DataFrame:
     """Unites intervals (key, start, end, n) of one key that are at most `gap` >= 1 apart.
 
@@ -90,55 +84,71 @@ class SessionTable:
     components that the batch bridges, and replaces the affected rows in one atomic commit. The order in which
     events arrive doesn't matter; an event applied twice counts twice, so corrections must be resolved before.
     Events with null key or time belong to no session. An empty batch commits nothing.
+
+    Sessions lie in parts by the span of time that they start in and by a hash of their key. The manifest knows the times
+    of every part, so a batch reads only parts that hold its keys' hashes and reach its times, and writes only those of
+    them in which a session changes or is new. parts: hashes a span; a table keeps the number that it was made with.
     """
 
     def __init__(self, spark: SparkSession, path: str, gap: int, bucket_s: int = BUCKET_S, parts: int = PARTS):
-        self.spark, self.gap, self.bucket_s, self.parts = spark, gap, bucket_s, parts
-        self.table = VersionedTable(spark, path, SCHEMA)
+        self.spark, self.gap, self.bucket_s = spark, gap, bucket_s
+        self.table = VersionedTable(spark, path, SCHEMA, ("start", "end"))
+        held = self.table.manifest()[1]["parts"]
+        self.parts = int(next(iter(held)).split("-")[0]) if held else parts
         self.scratch = Scratch(spark, "sessions")
 
-    def _part(self) -> F.Column:
-        # by key and month of the start: a hot key is spread, and a late batch touches few parts
-        return F.pmod(F.xxhash64("key", F.floor(F.col("start") / (30 * 86400))), F.lit(self.parts)).cast("int")
+    def _hash(self) -> Column:
+        return F.pmod(F.xxhash64("key"), F.lit(self.parts))
+
+    def _part(self) -> Column:
+        """Number of hashes, span and hash: names of parts tell how the table is laid out."""
+        return F.concat_ws("-", F.lit(str(self.parts)), F.replace(_bucket(F.col("start"), 0, SPAN_S).cast("string"), F.lit("-"), F.lit("m")), self._hash().cast("string"))
 
     def _near(self, df: DataFrame, names: list[str]) -> DataFrame:
         """One row for each bucket that the interval, widened by the gap, touches."""
         lo, hi = _bucket(F.col("start") - self.gap, 0, self.bucket_s), _bucket(F.col("end") + self.gap, 0, self.bucket_s)
         return df.select(*names, F.explode(F.sequence(lo, hi)).alias("b"))
 
+    def _reached(self, local: DataFrame, held: dict) -> list[str]:
+        """Stored parts that may hold a session within the gap of a local one; local ones are summed up by hash and span."""
+        spans: dict[str, list[tuple[int, int]]] = {}
+        for h, lo, hi in local.groupBy(self._hash().alias("h"), _bucket(F.col("start"), 0, SPAN_S).alias("s")).agg(F.min("start"), F.max("end")).select("h", "min(start)", "max(end)").collect():
+            spans.setdefault(str(h), []).append((lo - self.gap, hi + self.gap))
+        return [k for k, v in held.items() if any(lo <= v["hi"] and hi >= v["lo"] for lo, hi in spans.get(k.rsplit("-", 1)[1], ()))]
+
     def apply(self, events: DataFrame, tag: str | None = None) -> int:
         """events: (key string, time bigint); returns the table's version. A batch with the tag of the last commit was
         applied already and is left out, so a stream that repeats its last batch counts it once."""
-        if tag is not None and tag == self.table.tag:
-            return self.table.version
+        version, manifest = self.table.manifest()
+        if tag is not None and tag == manifest["tag"]:
+            return version
         points = events.where("key is not null and time is not null").groupBy("key", F.col("time").cast("long").alias("start"))
         points = points.agg(F.count(F.lit(1)).alias("n")).select("key", "start", F.col("start").alias("end"), "n")
-        limits = span(events.where("key is not null and time is not null").select(F.col("time").alias("start"), F.col("time").alias("end")))
-        if limits is None:
-            return self.table.version
-        local = merge_intervals(points, self.gap, limits, self.bucket_s).withColumn("part", self._part())
-        if self.table.version == 0:
-            return self.table.replace(local, list(range(self.parts)), tag)
+        points, seen = self.scratch.measured(points, "points", lo=F.min("start"), hi=F.max("end"))
+        if seen["lo"] is None:
+            return version
+        local = merge_intervals(points, self.gap, (seen["lo"], seen["hi"]), self.bucket_s)
+        if not version:
+            return self.table.replace(local.withColumn("part", self._part()), None, tag, version)
         local = self.scratch.cut(local, "local")
-        stored = self.table.read()
+        reached = self._reached(local, manifest["parts"])
+        stored = self.table.read(reached)
         s = self._near(stored, ["key", "start", "end", "n"])
         l = self._near(local, ["key", F.col("start").alias("l_start"), F.col("end").alias("l_end")])
         reach = (F.col("l_start") <= F.col("end") + self.gap) & (F.col("l_end") >= F.col("start") - self.gap)
-        affected = s.join(l, ["key", "b"]).where(reach).select("key", "start", "end", "n").distinct().withColumn("part", self._part())
-        affected = self.scratch.cut(affected, "affected")
-        both = affected.unionByName(local)
-        # a merged row starts where one of its parts starts, so it falls into a part that one of them has; at most self.parts
-        about = both.groupBy("part").agg(F.min("start"), F.max("end")).collect()
-        touched, limits = [r[0] for r in about], (min(r[1] for r in about), max(r[2] for r in about))
-        merged = merge_intervals(both.drop("part"), self.gap, limits, self.bucket_s).withColumn("part", self._part())
-        kept = stored.withColumn("part", self._part()).where(F.col("part").isin(touched)).join(affected.select("key", "start"), ["key", "start"], "left_anti")
-        return self.table.replace(kept.select("key", "start", "end", "n", "part").unionByName(merged), touched, tag)
+        affected = s.join(l, ["key", "b"]).where(reach).select("key", "start", "end", "n").distinct()
+        both, seen = self.scratch.measured(affected.withColumn("old", F.lit(True)).unionByName(local.withColumn("old", F.lit(False))), "both", lo=F.min("start"), hi=F.max("end"))
+        merged = merge_intervals(both.drop("old"), self.gap, (seen["lo"], seen["hi"]), self.bucket_s)
+        # a merged row starts where one of its rows starts, so it falls into a part that one of them has
+        touched = [r[0] for r in both.select(self._part().alias("part")).distinct().collect()]
+        kept = self.table.read(touched).join(both.where("old").select("key", "start"), ["key", "start"], "left_anti")
+        return self.table.replace(kept.select("key", "start", "end", "n").unionByName(merged).withColumn("part", self._part()), touched, tag, version)
 
     def read(self) -> DataFrame:
         return self.table.read()
 
 
-def sessions(events: DataFrame, gap: int, arrived: str = "ingested_at", shares: tuple[float, ...] = (0.7,)) -> DataFrame:
+def sessions(events: DataFrame, gap: int, arrived: str = "ingested_at", shares: tuple[float, ...] = (0.5, 0.8)) -> DataFrame:
     """Sessions (key, start, end, n) of events (key, time, arrived), built through a `SessionTable`.
 
     The table takes the events in batches by order of arrival, cut at the given shares (approximate quantiles)

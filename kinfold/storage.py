@@ -14,11 +14,12 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _local_folder: list[str] = []
-_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,9 +36,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 @atexit.register
 def _clean() -> None:
-    """Removes what this process wrote, where the shared folder is mounted here; elsewhere `Scratch.clear` does."""
-    for path in _made + _local_folder:
-        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+    """Removes the temporary folder of a local run; below a named folder, each `Scratch` removes its own."""
+    for path in _local_folder:
+        shutil.rmtree(path, ignore_errors=True)
 
 
 def file_system(spark: SparkSession, path: str):
@@ -53,13 +54,25 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Intermediate tables of one operator run, each in its own folder below the shared folder."""
+    """Intermediate tables of one operator run, each in its own folder below the shared folder.
+
+    A result is read from them lazily, so they stay until `clear` is called, the `with` block that they were made in ends,
+    or the driver does: the file system, whichever it is, deletes the folder when it is closed.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/kinfold-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        _made.append(self.path)
+        fs, at = file_system(spark, self.path)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Writes df and returns it as read back: computed once, with its lineage cut."""
@@ -102,83 +115,91 @@ class Scratch:
 class VersionedTable:
     """A table of parts whose files change together: readers see the last manifest that was committed.
 
-    Each commit writes the changed parts into a folder of its own, then a manifest that names the
-    folder of every part, under a temporary name, and renames it; the rename is the commit. A writer
-    that dies before it leaves the old state in force, one that comes second fails on the name.
+    Each commit writes the changed parts into a folder of its own, then a manifest that names the folder, the number of
+    rows and the bounds of every part. The manifest is made under a temporary name and gets its own without ever replacing
+    another: that is the commit. A writer that dies before it leaves the old state in force, one that comes second fails.
+    The table stays where it is when the session ends. schema: that of the rows, without the part column (a string);
+    bounds: the columns whose least and greatest values the manifest keeps, one each.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema, part: str = "part"):
-        self.spark, self.path, self.schema, self.part = spark, path.rstrip("/"), schema, part
-        if self.path.startswith(shared_folder(spark)):
-            _made.append(self.path)
+    def __init__(self, spark: SparkSession, path: str, schema, bounds: tuple[str, str], part: str = "part"):
+        self.spark, self.path, self.schema, self.bounds, self.part = spark, path.rstrip("/"), schema, bounds, part
 
-    def _manifest(self) -> tuple[int, dict[str, str]]:
+    def _names(self) -> list[str]:
         fs, at = file_system(self.spark, f"{self.path}/manifests")
         if not fs.exists(at):
-            return 0, {}
-        names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().endswith(".json"))
-        if not names:
-            return 0, {}
-        stream = fs.open(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{names[-1]}"))
+            return []
+        return sorted(n for s in fs.listStatus(at) if (n := s.getPath().getName()).endswith(".json") and n[:-5].isdigit())
+
+    def _load(self, name: str) -> dict:
+        fs, at = file_system(self.spark, f"{self.path}/manifests/{name}")
+        stream = fs.open(at)
         try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return int(names[-1].split(".")[0]), json.loads(text)
+
+    def manifest(self) -> tuple[int, dict]:
+        """The last version and its {"parts": {part: {"path", "n", "lo", "hi"}}, "tag"}; version 0 is before the first commit."""
+        names = self._names()
+        return (int(names[-1][:-5]), self._load(names[-1])) if names else (0, {"parts": {}, "tag": None})
 
     @property
     def version(self) -> int:
-        return self._manifest()[0]
+        return self.manifest()[0]
+
+    @property
+    def tag(self) -> str | None:
+        """What the last commit was given as its tag."""
+        return self.manifest()[1]["tag"]
 
-    def read(self) -> DataFrame:
-        """The rows of the last committed version (empty before the first)."""
-        _, parts = self._manifest()
-        paths = sorted(v for k, v in parts.items() if k != "tag")
+    def read(self, parts: list[str] | None = None) -> DataFrame:
+        """The rows of the last committed version (empty before the first), only of the given parts if there are any given;
+        no file of another part is opened."""
+        held = self.manifest()[1]["parts"]
+        paths = sorted(v["path"] for k, v in held.items() if parts is None or k in parts)
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
-    @property
-    def tag(self) -> str | None:
-        """What the last commit was given as its tag."""
-        return self._manifest()[1].get("tag")
-
-    def replace(self, rows: DataFrame, parts: list[int], tag: str | None = None) -> int:
-        """Makes rows the whole content of the given parts (rows has the part column too); returns the new version."""
-        version, old = self._manifest()
-        folder = f"{self.path}/v{version + 1:06d}-{uuid.uuid4().hex[:8]}"
-        rows.write.mode("overwrite").partitionBy(self.part).parquet(folder)
-        fs, at = file_system(self.spark, folder)
-        written = {s.getPath().getName().split("=")[1] for s in fs.listStatus(at) if "=" in s.getPath().getName()}
-        new = {k: v for k, v in old.items() if k != "tag" and int(k) not in set(parts)}
-        new |= {k: f"{folder}/{self.part}={k}" for k in written} | ({} if tag is None else {"tag": tag})
-        self._commit(version + 1, new)
-        return version + 1
-
-    def _commit(self, version: int, parts: dict[str, str]) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    def replace(self, rows: DataFrame, parts: list[str] | None, tag: str | None = None, version: int | None = None) -> int:
+        """Makes rows (with the part column) the whole content of the given parts, of all parts if None; returns the new
+        version. It fails if the table isn't at `version` any more (where it is now, if not given)."""
+        now, old = self.manifest()
+        now = now if version is None else version
+        folder = f"{self.path}/v{now + 1:06d}-{uuid.uuid4().hex[:8]}"
+        # adaptive execution unites small parts in a task and splits large ones
+        rows.hint("rebalance", self.part).write.mode("overwrite").partitionBy(self.part).parquet(folder)
+        lo, hi = self.bounds
+        written = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField(self.part, T.StringType())])).parquet(folder)
+        sizes = written.groupBy(self.part).agg(F.count(F.lit(1)), F.min(lo), F.max(hi)).collect()  # one row a part
+        kept = {} if parts is None else {k: v for k, v in old["parts"].items() if k not in set(parts)}
+        new = {str(p): {"path": f"{folder}/{self.part}={p}", "n": n, "lo": a, "hi": b} for p, n, a, b in sizes}
+        self._commit(now + 1, {"parts": kept | new, "tag": tag})
+        return now + 1
+
+    def _commit(self, version: int, manifest: dict) -> None:
+        jvm = self.spark.sparkContext._jvm
         fs, at = file_system(self.spark, f"{self.path}/manifests/{version:06d}.json")
-        if fs.exists(at):
-            raise RuntimeError(f"version {version} of {self.path} was committed by another writer")
-        tmp = path(f"{self.path}/manifests/.{version:06d}-{uuid.uuid4().hex[:8]}.tmp")
+        fs, tmp = file_system(self.spark, f"{self.path}/manifests/.{version:06d}-{uuid.uuid4().hex[:8]}.tmp")
         out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(parts).encode()))
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        if not fs.rename(tmp, at):
-            raise RuntimeError(f"version {version} of {self.path} was committed by another writer")
+        try:
+            if fs.getUri().getScheme() == "file":
+                os.link(tmp.toUri().getPath(), at.toUri().getPath())  # fails if the name is taken
+            else:
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                context.rename(tmp, at, none)  # without OVERWRITE it fails if the name is taken
+        except (FileExistsError, Py4JJavaError) as e:
+            raise RuntimeError(f"version {version} of {self.path} was committed by another writer") from e
+        finally:
+            fs.delete(tmp, False)
 
     def vacuum(self, keep: int = 1) -> None:
-        """Deletes folders that none of the last `keep` manifests names."""
-        fs, at = file_system(self.spark, f"{self.path}/manifests")
-        if not fs.exists(at):
-            return
-        names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().endswith(".json"))
-        used: set[str] = set()
-        for name in names[-keep:]:
-            stream = fs.open(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{name}"))
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            stream.close()
-            used |= {os.path.dirname(x).rsplit("/", 1)[1] for k, x in json.loads(text).items() if k != "tag"}
+        """Deletes folders that none of the last `keep` manifests names; readers and writers must be done with them."""
+        used = {os.path.dirname(p["path"]).rsplit("/", 1)[1] for name in self._names()[-keep:] for p in self._load(name)["parts"].values()}
         fs, at = file_system(self.spark, self.path)
         for s in fs.listStatus(at):
             name = s.getPath().getName()

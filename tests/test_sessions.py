@@ -1,5 +1,9 @@
 import random
+import subprocess
+import sys
+import threading
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -71,5 +75,57 @@ def test_a_failed_commit_leaves_the_old_state(spark, scratch):
     table = SessionTable(spark, f"{scratch.path}/t", 100)
     table.apply(frame(spark, [("u", 0)]))
     with pytest.raises(RuntimeError):
-        table.table._commit(1, {})
+        table.table._commit(1, {"parts": {}, "tag": None})
     assert rows(table.read()) == Counter([("u", 0, 0, 1)])
+
+
+def test_of_two_writers_one_commits(spark, scratch):
+    table = SessionTable(spark, f"{scratch.path}/t", 100)
+    table.apply(frame(spark, [("u", 0)]))
+    done = []
+
+    def commit():
+        try:
+            table.table._commit(2, table.table.manifest()[1])
+            done.append(True)
+        except RuntimeError:
+            done.append(False)
+
+    writers = [threading.Thread(target=commit) for _ in range(4)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert sorted(done) == [False, False, False, True] and table.table.version == 2
+    with pytest.raises(RuntimeError):
+        table.table.replace(table.read().withColumn("part", table._part()), [], version=1)
+
+
+def test_a_small_batch_replaces_few_parts(spark, scratch):
+    day = 86400
+    events = [(f"k{i}", i % 40 * day + j) for i in range(2000) for j in (0, 5000)]
+    table = SessionTable(spark, f"{scratch.path}/t", 1800)
+    table.apply(frame(spark, events))
+    before = table.table.manifest()[1]["parts"]
+    late = [(f"k{i}", 36 * day + 60) for i in range(36, 2000, 400)] + [(f"new{i}", 36 * day) for i in range(5)]
+    table.apply(frame(spark, late))
+    after = table.table.manifest()[1]["parts"]
+    changed = {k for k in before.keys() | after.keys() if before.get(k) != after.get(k)}
+    assert len(before) >= 90 and 0 < len(changed) <= 10
+    assert rows(table.read()) == brute(events + late, 1800)
+    assert len(table.table.read(sorted(changed)).inputFiles()) < len(table.read().inputFiles()) / 4
+
+
+def test_another_process_reads_the_table(spark, scratch, tmp_path):
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from kinfold.operators.sessions import SessionTable
+from kinfold.session import local_session
+spark = local_session(2, spark__checkpoint__dir="file://{tmp_path}/shared")
+SessionTable(spark, "file://{tmp_path}/shared/kept", 100).apply(spark.createDataFrame([("u", 0), ("u", 50)], "key string, time long"))
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, capture_output=True)
+    kept = SessionTable(spark, f"file://{tmp_path}/shared/kept", 100)
+    assert rows(kept.read()) == Counter([("u", 0, 50, 2)])
+    assert (tmp_path / "shared" / "kept").exists() and not list((tmp_path / "shared").glob("kinfold-*"))
