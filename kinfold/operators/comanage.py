@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.operators.places import places
+from kinfold.operators.places import first_rows
 from kinfold.operators.sessions import sessions
 from kinfold.storage import Scratch
 
@@ -35,7 +35,7 @@ def comanaged(events: DataFrame, gap: int, scratch: Scratch, rows_of_all: int =
     labelled = scratch.cut(label(events.where("key is not null and time is not null and item is not null"), gap, scratch), "labelled")
     n = labelled.select("key", "session_start").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     hashed = labelled.select("key", "session_start", "target", "item", F.sha2("item", 256).alias("h"))
-    some = places(hashed, ["key", "session_start"], ["h", "item"], scratch, n=rows_of_all)
+    some = first_rows(hashed, ["key", "session_start"], ["h", "item"], rows_of_all)
     some = some.join(n, "key").where(F.col("place") <= F.greatest(F.floor(F.lit(rows_of_all) / F.col("n")), F.lit(1)))
     a = some.select("key", "session_start", "target", F.col("item").alias("a"))
     b = some.select("key", "session_start", "target", F.col("item").alias("b"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.measures import WEIGHTS
-from kinfold.operators.places import places
+from kinfold.operators.places import first_rows
 from kinfold.storage import Scratch
 
 SAMPLE = 1000
@@ -92,7 +92,7 @@ def token_sets(rows: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> DataF
 
     Of each scope at most `sample` items are looked at, drawn by the SHA-256 of the item; a group with none has no rule.
     """
-    some = places(rows.where("scope is not null and grp is not null and item is not null").select("scope", F.sha2("item", 256).alias("h"), "item", "grp", "tokens"), ["scope"], ["h", "item"], scratch, n=sample)
+    some = first_rows(rows.where("scope is not null and grp is not null and item is not null").select("scope", F.sha2("item", 256).alias("h"), "item", "grp", "tokens"), ["scope"], ["h", "item"], sample)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("place")
@@ -118,7 +118,7 @@ def leaves(rows: DataFrame, features: list[str], scratch: Scratch, depth: int =
     for f in features:
         ok = ok.where(F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")))
     ok = scratch.cut(ok.select("scope", "item", "label", *(F.col(f).cast("double").alias(f) for f in features)), "rows")
-    some = places(ok.select("scope", F.sha2("item", 256).alias("h"), "item", "label", *features), ["scope"], ["h", "item"], scratch, n=sample)
+    some = first_rows(ok.select("scope", F.sha2("item", 256).alias("h"), "item", "label", *features), ["scope"], ["h", "item"], sample)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("place")

@@ -29,9 +29,9 @@ def _starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(differs) + 1
 
 
-def _placed(keys: list[str], n: int | None):
-    """Adds the place within the partition's run of the group, keeping places up to n, and at the end one row more with
-    the negative count of the last group."""
+def _placed(keys: list[str]):
+    """Adds the place within the partition's run of the group, and at the end one row more with the negative count of the
+    last group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
@@ -46,11 +46,7 @@ def _placed(keys: list[str], n: int | None):
             place = np.arange(batch.num_rows) - np.maximum.accumulate(base) + 1
             if tuple(c[0].as_py() for c in at) == last:
                 place[: begin[1] if len(begin) > 1 else None] += before
-            out, kept = batch, place
-            if n is not None:
-                keep = np.flatnonzero(place <= n)
-                out, kept = batch.take(pa.array(keep)), place[keep]
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(kept), pa.array(np.full(len(kept), pid, dtype=np.int32))], names=[*batch.schema.names, "place", "pid"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place), pa.array(np.full(len(place), pid, dtype=np.int32))], names=[*batch.schema.names, "place", "pid"])
             before, end = int(place[-1]), batch.slice(batch.num_rows - 1)
             last = tuple(c[batch.num_rows - 1].as_py() for c in at)
         if end is not None:
@@ -59,8 +55,8 @@ def _placed(keys: list[str], n: int | None):
     return run
 
 
-def places(rows: DataFrame, keys: list[str], order: list, scratch: Scratch, n: int | None = None, partitions: int | None = None) -> DataFrame:
-    """Rows with their place (bigint, from 1) in the order of their group (keys); only places up to n, if n is given.
+def places(rows: DataFrame, keys: list[str], order: list, scratch: Scratch, partitions: int | None = None) -> DataFrame:
+    """Rows with their place (bigint, from 1) in the order of their group (keys).
 
     order: sort expressions that should make the order total; rows equal in all of them take places in no fixed order,
     and repeated rows take one each. Keys must not be null. rows has no columns place and pid.
@@ -68,7 +64,7 @@ def places(rows: DataFrame, keys: list[str], order: list, scratch: Scratch, n: i
     spread = rows.repartitionByRange(partitions, *keys, *order) if partitions else rows.repartitionByRange(*keys, *order)
     ordered = spread.sortWithinPartitions(*keys, *order)
     schema = T.StructType([*ordered.schema.fields, T.StructField("place", T.LongType()), T.StructField("pid", T.IntegerType())])
-    placed = scratch.cut(ordered.mapInArrow(_placed(keys, n), schema), "placed")
+    placed = scratch.cut(ordered.mapInArrow(_placed(keys), schema), "placed")
     tails = placed.where("place < 0").select(*keys, "pid", (-F.col("place")).alias("size"))
     # where such a group goes on, prefix sums over the partitions; at most two rows a partition
     heads = placed.where("place > 0").select(*keys, "pid").distinct().join(tails.select(*keys).distinct(), keys, "left_semi")
@@ -76,5 +72,11 @@ def places(rows: DataFrame, keys: list[str], order: list, scratch: Scratch, n: i
     sums = tails.unionByName(heads.withColumn("size", F.lit(0).cast("long"))).groupBy(*keys, "pid").agg(F.sum("size").alias("size"))
     sums = sums.select(*keys, "pid", F.coalesce(F.sum("size").over(runs), F.lit(0)).alias("__before"))
     out = placed.where("place > 0").join(sums, [*keys, "pid"], "left").withColumn("place", F.col("place") + F.coalesce("__before", F.lit(0)))
-    out = out if n is None else out.where(F.col("place") <= n)
     return out.select(*rows.columns, "place")
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+    """Samples: the first n rows of each group with their place (bigint), n being small; each task sends on no more than n rows
+    a group. Ties as in `places`."""
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("place", at).where(F.col("place") <= n).withColumn("place", F.col("place").cast("long"))

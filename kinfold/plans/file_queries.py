@@ -9,7 +9,7 @@ from kinfold.functions import kinds, measures, text
 from kinfold.operators import explain, pairs, rules, states
 from kinfold.operators.comanage import comanaged
 from kinfold.operators.hierarchy import resolve
-from kinfold.operators.places import places
+from kinfold.operators.places import first_rows, places
 from kinfold.operators.sessions import sessions
 from kinfold.operators.versions import newest
 from kinfold.sources.tables import table
@@ -250,7 +250,7 @@ def strata_sample(spark: SparkSession, folder: str) -> DataFrame:
     said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
     h = F.sha2(F.concat_ws("|", "user_id", "file_id_a", "file_id_b"), 256)
     rows = some.select(F.concat_ws("/", said("find_pred"), said("move_pred")).alias("stratum"), h.alias("h"), "user_id", "file_id_a", "file_id_b")
-    return places(rows, ["stratum"], ["h"], Scratch(spark, "strata"), n=20).drop("h")
+    return first_rows(rows, ["stratum"], ["h"], 20).drop("h")
 
 
 def json_fields(spark: SparkSession, folder: str) -> DataFrame:

@@ -74,6 +74,11 @@ class Scratch:
     def __exit__(self, *_) -> None:
         self.clear()
 
+    def number(self) -> int:
+        """A number that no other table of the run has."""
+        self._n += 1
+        return self._n
+
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Writes df and returns it as read back: computed once, with its lineage cut."""
         self._n += 1
