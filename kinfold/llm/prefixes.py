@@ -59,7 +59,7 @@ def longer_copies(texts: DataFrame, scratch: Scratch) -> DataFrame:
     each = hashed.select(F.explode("hashes").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     asked = hashed.select(F.element_at("hashes", -1).alias("key")).distinct().join(each, "key", "left_semi")
     held = hashed.select("h", F.explode("hashes").alias("key")).join(asked, "key", "left_semi").select("h").distinct()
-    near = texts.join(held, "h", "left_semi").select("h", "text")
+    near = texts.join(scratch.cut(held, "held"), "h", "left_semi").select("h", "text")  # written first: if few, no text is shuffled for it
     ordered = near.repartitionByRange("text").sortWithinPartitions("text")
     found = scratch.cut(ordered.mapInArrow(_neighbours, "h binary, text string, behind string, edge int, pid int"), "neighbours")
     # the last row of a partition and the first of the next that has any: two rows a partition

@@ -8,7 +8,7 @@ from functools import cache
 import numpy as np
 
 SPACE, LINE, LETTER, DIGIT, UNDERSCORE, MARK, INNER = range(7)
-PORTION = 3_000_000  # characters that are looked at together
+PORTION = 1_000_000  # characters that are looked at together
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -248,7 +248,7 @@ def truncated(documents: DataFrame, scratch: Scratch) -> DataFrame:
     'copy' (a longer copy of the text), 'mark' (what the cutting of a limit adds), 'ends' (how texts with such an end go on),
     'form' (the form alone: a broken character, row, list entry or bracket).
     """
-    rows = documents.where("id is not null and text is not null and trim(text) <> ''").select(F.col("id").cast("long").alias("id"), "source", F.unhex(F.sha2("text", 256)).alias("h"), "text")
+    rows = documents.where("id is not null and text is not null and trim(text) <> ''").select(F.col("id").cast("long").alias("id"), "source", F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("h"), "text")
     # exact copies of a text tell nothing more about its end: statistics and limits take one of them
     texts, seen = scratch.measured(rows.groupBy("h").agg(F.first("text").alias("text")), "texts", n=F.count(F.lit(1)))
     held = scratch.cut(rows.select("id", "source", "h", F.length("text").alias("chars"), F.octet_length("text").alias("bytes")), "rows")
@@ -263,12 +263,13 @@ def truncated(documents: DataFrame, scratch: Scratch) -> DataFrame:
     known = counts.join(asked, "key", "left_semi")
     told = each.join(known, "key").groupBy("h").pivot("k", list(range(2 + 2 * len(CONTEXTS)))).agg(F.max("a").alias("a"), F.max("b").alias("b"))
 
-    sizes = held.select("source", "h", "chars", "bytes").distinct()
+    sizes = scratch.cut(held.select("source", "h", "chars", "bytes").distinct(), "sizes")
     of_source = Window.partitionBy("source")
     both = sizes.select("source", "h", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("s"))
     both = both.select("source", "h", "s.unit", "s.size")
     n = both.groupBy("source", "unit", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.sum("n").over(of_source) / 2)
     limits = n.where((F.col("n") >= LIMIT_COUNT) & (F.col("n") >= LIMIT_SHARE * F.col("all"))).select(F.col("source").alias("l_source"), F.col("unit").alias("l_unit"), F.col("size").alias("l_size"), F.col("n").alias("l_n"), F.col("all").alias("l_all"))
+    limits = scratch.cut(limits, "limits")
     at = (both["source"].eqNullSafe(limits["l_source"])) & (both["unit"] == limits["l_unit"]) & (both["size"] == limits["l_size"])
     limited = scratch.cut(both.join(limits, at).select("source", "h", "unit", "size", "l_n", "l_all"), "limited")
     by_mark = ends.where("mark <> ''").select("h", "mark")
