@@ -2,9 +2,16 @@
 
 Documents and items become sequences of words free of case, markup, punctuation and the usual letter confusions;
 a word one letter away from items' words counts as any of them. Windows of both get SimHash fingerprints, weighted by
-how rare a word is in the documents. A fingerprint within the radius of another agrees with it in at least one of
-radius + 1 blocks, so looking the blocks up finds every such pair. Candidates are verified exactly: by the weighted
+how rare a word is in the documents. Two fingerprints within the radius agree in at least BLOCKS - RADIUS of their blocks,
+so looking up every choice of that many blocks finds all such pairs. Candidates are verified exactly: by the weighted
 share of the item's word shingles in a stretch of the document, then by aligning the words.
+
+Documents are read and coded once for all items; items are then searched for in passes of bounded size over the codes.
+Only windows that a stretch can be in are fingerprinted: of the 9 neighbouring word pairs of some window inside any stretch
+that `aligned_span` accepts, at least PAIRS stand side by side in the item as well. Proof: an edit makes at most two pairs
+differ. Where edits are APART = 4 matching words apart, each second edit is five words on, so 9 pairs hold at most two edits
+and at least 5 pairs stay. Otherwise a stretch of n words has at most 0.15 n edits (4 points each, of 0.6 n at most) and (n - 16) / 4, and
+of its disjoint runs of 9 pairs the one with the fewest edits has at least 6 left.
 """
 
 from __future__ import annotations
@@ -12,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +30,13 @@ from kinfold.storage import Scratch
 
 STRETCH = 20  # successive words of an item that make a leak
 WINDOW = 10  # words of a fingerprint: a stretch with an edit here and there still holds nearly whole windows
-RADIUS = 8
-BITS = 64
+PAIRS = 5  # neighbouring words of a window that stand side by side in an item
+RADIUS, BLOCKS, BITS = 8, 11, 64
 SHINGLES = 0.35  # share of the weight of an item's shingles that a stretch must hold
 APART = 4  # matching words between two edits of a stretch
 SHARED_OPENING = 3  # items that begin with the same sentence make it an instruction
-WORDS_A_PASS = 200_000
+WORDS_A_PASS, WORDS_A_CODING = 50_000, 5_000_000  # words of items searched for together, and coded together
+WORDS_AT_ONCE = 200_000  # words of documents
 
 _MARKUP = re.compile(r"<[^<>]{1,200}>|&[a-zA-Z#0-9]{1,8};|-[ \t]*\r?\n[ \t>]*(?=[a-z])")
 _WORD = re.compile(r"[^\W_]+")
@@ -142,59 +151,75 @@ def _rolled(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints of all windows of the items, by block."""
+    """Fingerprints of all windows of the items, by every choice of blocks that two within the radius agree in."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], known: list[str], weight: np.ndarray, radius: int = RADIUS, seed: int = 7):
+    def __init__(self, items: list[tuple[int, np.ndarray]], known: list[str], weight: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS, seed: int = 7):
         self.items, self.weight, self.radius = items, np.append(weight, [0.0, 0.0]), radius
         self.number = np.array([bool(_NUMBER.fullmatch(w)) for w in known] + [True, False])
-        # the planes follow from the words alone, so every run and every executor has the same
+        # the planes follow from the words alone, so every pass and every executor has the same
         planes = np.array([np.random.default_rng([seed, *w.encode()]).integers(0, 2, BITS) * 2.0 - 1 for w in known])
         self.planes = np.concatenate([planes, np.zeros((2, BITS))]) * self.weight[:, None]
-        prints, owner = [], []
-        for n, (_, codes) in enumerate(items):
-            p = self.fingerprints(codes)
-            prints.append(p)
-            owner.append(np.full(len(p), n, dtype=np.int32))
-        self.prints, self.owner = np.concatenate(prints), np.concatenate(owner)
-        self.least = min(self._least(c) for _, c in items)
-        limits = np.linspace(0, BITS, radius + 2).astype(int).tolist()
-        self.blocks = []
-        for lo, hi in zip(limits, limits[1:]):
-            key = self._block(self.prints, lo, hi)
-            order = np.argsort(key, kind="stable")
-            self.blocks.append((lo, hi, order.astype(np.int32), np.searchsorted(key[order], np.arange((1 << (hi - lo)) + 1))))
+        prints = [self.fingerprints(codes) for _, codes in items]
+        self.prints, self.owner = np.concatenate(prints), np.repeat(np.arange(len(items), dtype=np.int32), [len(p) for p in prints])
+        limits = np.linspace(0, BITS, blocks + 1).astype(int).tolist()
+        self.choices = []
+        for chosen in combinations(zip(limits, limits[1:]), blocks - radius):
+            key = self._key(self.prints, chosen)
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            self.choices.append((chosen, key[order], order))
+        self.n_words = len(known)
         self.shingles = []
         for _, codes in items:
-            pairs = codes[:-1].astype(np.int64) * len(known) + codes[1:]
+            pairs = codes[:-1].astype(np.int64) * self.n_words + codes[1:]
             mass = self.weight[codes[:-1]] + self.weight[codes[1:]]
             self.shingles.append((set(pairs.tolist()), float(_rolled(mass, STRETCH - 1).min())))
-        self.n_words = len(known)
         vocabulary = Vocabulary(known)
         # a word of one item may be another item's word misspelt
         self.beside = [vocabulary.near(w) for w in known]
         self.members = [set(c.tolist()) for _, c in items]
+        self.own = np.zeros(self.n_words + 2, dtype=bool)
+        self.own[np.concatenate([c for _, c in items])] = True
         self._others = np.array([c for b in self.beside for c in b], dtype=np.int64)
         self._first = np.concatenate([[0], np.cumsum([len(b) for b in self.beside])])
         owned = sorted((p, n) for n, (pairs, _) in enumerate(self.shingles) for p in pairs)
         self.pairs, self.pair_owner = np.array([p for p, _ in owned]), np.array([n for _, n in owned])
-
-    def _least(self, codes: np.ndarray) -> float:
-        """Over the item's stretches, the least weight of the heaviest window in one."""
-        mass = _rolled(self.weight[codes], WINDOW)
-        width = min(len(mass), STRETCH - WINDOW + 1)
-        return float(np.lib.stride_tricks.sliding_window_view(mass, width).max(axis=1).min())
+        self.windows = self.compared = 0  # looked up so far, and fingerprints that they were compared with
 
     @staticmethod
-    def _block(prints: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        return ((prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
-
-    def fingerprints(self, codes: np.ndarray) -> np.ndarray:
-        return self._prints(self.planes[codes])
+    def _key(prints: np.ndarray, chosen: tuple[tuple[int, int], ...]) -> np.ndarray:
+        key = np.zeros(len(prints), dtype=np.uint64)
+        for lo, hi in chosen:
+            key = key << np.uint64(hi - lo) | (prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
+        return key.astype(np.uint32)
+
+    def fingerprints(self, codes: np.ndarray, at: np.ndarray | None = None, planes: np.ndarray | None = None) -> np.ndarray:
+        """Of the windows that begin at the given places, or of all."""
+        planes = self.planes if planes is None else planes
+        at = np.arange(len(codes) - WINDOW + 1) if at is None else at
+        out = np.zeros(len(at), dtype=np.uint64)
+        for lo in range(0, len(at), 16_384):
+            own = at[lo : lo + 16_384]
+            total = np.zeros((len(own), BITS))
+            for k in range(WINDOW):
+                total += planes[codes[own + k]]
+            out[lo : lo + 16_384] = np.packbits(total > 0, axis=1, bitorder="little").view(np.uint64).ravel()
+        return out
 
-    @staticmethod
-    def _prints(planes: np.ndarray) -> np.ndarray:
-        bits = _rolled(planes, WINDOW) > 0
-        return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j): all fingerprints j of the index within the radius of prints[i]; a pair may be given more than once."""
+        which, other = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        self.windows += len(prints)
+        for chosen, keys, order in self.choices:
+            key = self._key(prints, chosen)
+            first = np.searchsorted(keys, key)
+            n = np.searchsorted(keys, key, side="right") - first
+            row = np.repeat(np.arange(len(prints)), n)
+            j = order[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]]
+            self.compared += len(j)
+            close = np.flatnonzero(np.bitwise_count(self.prints[j] ^ prints[row]) <= self.radius)
+            which.append(row[close])
+            other.append(j[close])
+        return np.concatenate(which), np.concatenate(other)
 
     def options(self, codes: np.ndarray, near: np.ndarray | None = None) -> list[tuple[tuple[int, bool], ...]]:
         """The items' words that each word of a document may stand for (near: as of `_coded`), False for those that a
@@ -207,10 +232,11 @@ class Index:
             out[k] = tuple((n, True) for n in ns)
         return out
 
-    def _misspelt(self, codes: np.ndarray, near: np.ndarray) -> dict[int, list[int]]:
-        """Items that share three word pairs close to each other with the document if misspelt words are read otherwise
-        than the fingerprints do, and the places of the pairs."""
-        at, which = near.reshape(-1, 2).astype(np.int64).T
+    def _readings(self, codes: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, code, read): what the words of the codes may stand for, read where it isn't what the fingerprints take.
+
+        Only words of the items of this index, and only where WINDOW words have enough of them for PAIRS pairs.
+        """
         exact = codes >= 0
         exact[at] = False
         exact = np.flatnonzero(exact)
@@ -219,65 +245,72 @@ class Index:
         place = np.concatenate([exact, at, np.repeat(exact, n)])
         code = np.concatenate([codes[exact], which, self._others[more]])
         read = np.concatenate([np.zeros(len(exact), bool), which != codes[at], np.ones(len(more), bool)])
+        own = self.own[code]
+        place, code, read = place[own], code[own], read[own]
+        spoken = np.zeros(len(codes) + 1, dtype=np.int64)
+        spoken[place] = 1
+        many = np.flatnonzero(_rolled(spoken[:-1], WINDOW) > PAIRS) if len(codes) >= WINDOW else np.zeros(0, dtype=np.int64)
+        open_ = np.zeros(len(codes) + 1, dtype=np.int64)
+        np.add.at(open_, many, 1)
+        np.add.at(open_, many + WINDOW, -1)
+        some = np.cumsum(open_)[place] > 0
+        place, code, read = place[some], code[some], read[some]
         order = np.argsort(place, kind="stable")
-        place, code, read = place[order], code[order], read[order]
+        return place[order], code[order], read[order]
+
+    def find(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, list[int]]]:
+        """(document, item, places): where a document (codes, near) may hold a stretch of an item.
+
+        It does where a window has a fingerprint within the radius of one of the item's; and where three of the item's word
+        pairs lie close together if misspelt words are read otherwise than the fingerprints do.
+        """
+        sizes = np.array([len(c) for c, _ in docs], dtype=np.int64)
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        codes = np.concatenate([x for c, _ in docs for x in (c, [np.int32(_OTHER)])]).astype(np.int64)
+        misspelt = [n.reshape(-1, 2) + [b, 0] for (_, n), b in zip(docs, begin.tolist()) if len(n)]
+        at, which = np.concatenate(misspelt).T if misspelt else np.zeros((2, 0), dtype=np.int64)
+        place, code, read = self._readings(codes, at, which)
         lo, hi = np.searchsorted(place, place + 1), np.searchsorted(place, place + 2)
         a = np.repeat(np.arange(len(place)), hi - lo)
         b = np.arange(len(a)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
-        some = read[a] | read[b]
-        a, b = a[some], b[some]
         key = code[a] * self.n_words + code[b]
-        lo, hi = np.searchsorted(self.pairs, key), np.searchsorted(self.pairs, key, side="right")
-        held = np.flatnonzero(hi > lo)
-        hits: dict[int, set[int]] = {}
-        for k in held.tolist():
-            for owner in self.pair_owner[lo[k] : hi[k]].tolist():
-                hits.setdefault(owner, set()).add(int(place[a[k]]))
-        out = {}
-        for owner, places in hits.items():
-            ps = sorted(places)
-            close = sorted({p for x in zip(ps, ps[1:], ps[2:]) if x[2] - x[0] < STRETCH for p in x})
-            if close:
-                out[owner] = close
-        return out
-
-    def near(self, codes: np.ndarray, near: np.ndarray | None = None) -> dict[int, list[int]]:
-        """Items with a window within the radius of one of the document's, and the places of the document's windows."""
-        if len(codes) < WINDOW:
-            return {}
-        weight, planes = self.weight[codes], self.planes[codes]
-        if near is not None and len(near):  # the mean of all that a misspelt word may stand for
-            at, which = near.reshape(-1, 2).T
-            own, where = np.unique(at, return_inverse=True)
-            n = np.bincount(where)
-            weight[own] = np.bincount(where, weights=self.weight[which]) / n
-            planes[own] = 0.0
-            np.add.at(planes, at, self.planes[which])
-            planes[own] /= n[:, None]
-        mass = _rolled(weight, WINDOW)
-        # every stretch of an item has a window of at least this weight, half of which edits may take
-        at = np.flatnonzero(mass >= 0.5 * self.least)
-        others = {} if near is None else self._misspelt(codes, near)
-        if not len(at):
-            return others
-        lo, hi = int(at[0]), int(at[-1]) + WINDOW
-        prints = self._prints(planes[lo:hi])[at - lo]
-        found: dict[int, list[int]] = {}
-        for k in range(0, len(prints), 256):
-            some = prints[k : k + 256]
-            which, other = [], []
-            for b_lo, b_hi, order, start in self.blocks:
-                key = self._block(some, b_lo, b_hi)
-                first, n = start[key], start[key + 1] - start[key]
-                row = np.repeat(np.arange(len(some)), n)
-                other.append(order[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]])
-                which.append(row)
-            which, other = np.concatenate(which), np.concatenate(other)
-            close = np.flatnonzero(np.bitwise_count(self.prints[other] ^ some[which]) <= self.radius)
-            hits = np.unique(self.owner[other[close]].astype(np.int64) << 32 | at[k + which[close]])
-            for n, i in zip((hits >> 32).tolist(), (hits & 0xFFFFFFFF).tolist()):
-                found.setdefault(n, []).append(i)
-        return found | {n: sorted({*found.get(n, ()), *places}) for n, places in others.items()}
+        first, n = np.searchsorted(self.pairs, key), np.searchsorted(self.pairs, key, side="right")
+        held = np.flatnonzero(n > first)
+        good = np.zeros(len(codes), dtype=np.int64)
+        good[place[a[held]]] = 1
+        # pairs across documents aren't pairs: a separator is no word
+        windows = np.flatnonzero(_rolled(good, WINDOW - 1) >= PAIRS) if len(codes) >= WINDOW else np.zeros(0, dtype=np.int64)
+        doc = np.searchsorted(begin, windows, side="right") - 1
+        inside = windows + WINDOW <= begin[doc] + sizes[doc]
+        windows, doc = windows[inside], doc[inside]
+        # pairs read otherwise, in documents that have such windows
+        ok = np.zeros(len(docs) + 1, dtype=bool)
+        ok[doc] = True
+        other = held[(read[a] | read[b])[held]]
+        other = other[ok[np.searchsorted(begin, place[a[other]], side="right") - 1]]
+        m = n[other] - first[other]
+        owner = self.pair_owner[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[other], m)].astype(np.int64)
+        spot = np.repeat(place[a[other]], m)
+        hits = np.unique(np.stack([np.searchsorted(begin, spot, side="right") - 1, owner, spot]), axis=1)
+        three = np.flatnonzero((hits[0, 2:] == hits[0, :-2]) & (hits[1, 2:] == hits[1, :-2]) & (hits[2, 2:] - hits[2, :-2] < STRETCH)) if hits.shape[1] > 2 else np.zeros(0, dtype=np.int64)
+        close = hits[:, np.unique(np.concatenate([three, three + 1, three + 2]))]
+        if len(windows):
+            codes_, planes = codes, self.planes
+            if len(at):  # the mean of all that a misspelt word may stand for
+                own, where = np.unique(at, return_inverse=True)
+                mean = np.zeros((len(own), BITS))
+                np.add.at(mean, where, self.planes[which])
+                codes_, planes = codes.copy(), np.concatenate([self.planes, mean / np.bincount(where)[:, None]])
+                codes_[own] = len(self.planes) + np.arange(len(own))
+                codes_[codes_ < 0] += len(self.planes)
+            i, j = self.within(self.fingerprints(codes_, windows, planes))
+            close = np.concatenate([close, np.stack([doc[i], self.owner[j].astype(np.int64), windows[i]])], axis=1)
+        if not close.shape[1]:
+            return []
+        close = np.unique(close, axis=1)
+        starts = np.flatnonzero(np.concatenate([[True], (close[0, 1:] != close[0, :-1]) | (close[1, 1:] != close[1, :-1])]))
+        ends = [*starts[1:].tolist(), close.shape[1]]
+        return [(int(close[0, s]), int(close[1, s]), (close[2, s:e] - begin[close[0, s]]).tolist()) for s, e in zip(starts.tolist(), ends)]
 
     def verify(self, codes: np.ndarray, n: int, at: list[int], stretch: int = STRETCH, options: list[tuple[tuple[int, bool], ...]] | None = None) -> bool:
         """Whether the document holds a stretch of item n about one of the places."""
@@ -359,56 +392,73 @@ def aligned_span(part: np.ndarray, item: np.ndarray, number: np.ndarray | None =
 
 def _search(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(held: list[tuple]) -> pa.RecordBatch:
+            docs, items, options = [], [], {}
+            for d, n, at in index.find([(c, m) for _, c, m in held]):
+                i, codes, near = held[d]
+                if d not in options:
+                    options = {d: index.options(codes, near)}
+                if index.verify(codes, n, at, options=options[d]):
+                    docs.append(i)
+                    items.append(index.items[n][0])
+            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], names=["doc_id", "item_id"])
+
+        held, total = [], 0
         for batch in batches:
-            docs, items = [], []
-            for i, raw, raw_near in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                codes, near = np.frombuffer(raw, dtype=np.int32), np.frombuffer(raw_near, dtype=np.int32)
-                options = None
-                for n, at in index.near(codes, near).items():
-                    options = index.options(codes, near) if options is None else options
-                    if index.verify(codes, n, at, options=options):
-                        docs.append(i.as_py())
-                        items.append(index.items[n][0])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], names=["doc_id", "item_id"])
+            for i, raw, near in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                held.append((i, np.frombuffer(raw, dtype=np.int32), np.frombuffer(near, dtype=np.int32)))
+                total += len(raw) // 4
+                if total >= WORDS_AT_ONCE:
+                    yield found(held)
+                    held, total = [], 0
+        if held:
+            yield found(held)
 
     return run
 
 
 def item_bodies(items: DataFrame) -> DataFrame:
-    """(id, body): texts without a first sentence that at least SHARED_OPENING items begin with."""
-    cut = items.where("id is not null and text is not null").select("id", "text", F.regexp_extract("text", r"^\s*([^.!?]*[.!?])\s", 1).alias("opening"))
-    shared = cut.where("opening <> ''").groupBy("opening").agg(F.countDistinct("id").alias("n")).where(F.col("n") >= SHARED_OPENING)
+    """(id, body): texts without an instruction that they begin with.
+
+    An instruction is a first sentence that goes on in at least SHARED_OPENING ways: one that items share together with
+    what follows is a passage, and stays.
+    """
+    sentences = r"^\s*([^.!?]*[.!?])\s+([^.!?]*[.!?]?)"
+    cut = items.where("id is not null and text is not null").select("id", "text", F.regexp_extract("text", sentences, 1).alias("opening"), F.regexp_extract("text", sentences, 2).alias("second"))
+    shared = cut.where("opening <> ''").groupBy("opening").agg(F.countDistinct("second").alias("n")).where(F.col("n") >= SHARED_OPENING)
     joined = cut.join(shared, "opening", "left")
     return joined.select("id", F.when(F.col("n").isNotNull(), F.expr("substr(text, instr(text, opening) + length(opening))")).otherwise(F.col("text")).alias("body"))
 
 
-def leaks(documents: DataFrame, items: DataFrame, scratch: Scratch, words_a_pass: int = WORDS_A_PASS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, scratch: Scratch, words_a_pass: int = WORDS_A_PASS, words_a_coding: int = WORDS_A_CODING) -> DataFrame:
     """(doc_id, item_id) of the documents (id bigint, text) that hold at least STRETCH successive words of an item.
 
-    Items (id bigint, text) are taken in passes of bounded size, each against all documents. Items of fewer words
-    hold no stretch, null and empty texts no words; null ids are left out. Repeated pairs are given once.
+    Items (id bigint, text) are coded together, with all documents, in groups of bounded size (one, up to five million
+    words), and searched for in passes of bounded size. Items of fewer words hold no stretch, null and empty texts no words; null
+    ids are left out. Repeated pairs are given once.
     """
     spark = documents.sparkSession
-    bodies = scratch.cut(item_bodies(items), "items")
-    total = bodies.agg(F.sum(F.size(F.split("body", r"\s+")))).first()[0] or 0
-    passes = max(1, -(-total // words_a_pass))
-    out = None
-    for k in range(passes):
-        own = bodies.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == k).orderBy("id").collect()
-        texts = [(r["id"], words(r["body"])) for r in own]
-        texts = [(i, w) for i, w in texts if len(w) >= STRETCH]
-        known = sorted({w for _, ws in texts for w in ws})
+    bodies, seen = scratch.measured(item_bodies(items), "items", n=F.sum(F.size(F.split("body", r"\s+"))))
+    groups, out = max(1, -(-(seen["n"] or 0) // words_a_coding)), None
+    for g in range(groups):
+        own = bodies.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g).orderBy("id").collect()
+        texts = [(r["id"], w) for r in own if len(w := words(r["body"])) >= STRETCH]
         if not texts:
             continue
+        known = sorted({w for _, ws in texts for w in ws})
         number = {w: i for i, w in enumerate(known)}
         coded = [(i, np.array([number[w] for w in ws], dtype=np.int32)) for i, ws in texts]
         docs = documents.where("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), "text")
-        docs = scratch.cut(docs.mapInArrow(_coded(known), "id long, codes binary, near binary"), "coded")
-        n = docs.count()
+        docs, seen = scratch.measured(docs.mapInArrow(_coded(known), "id long, codes binary, near binary"), "coded", n=F.count(F.lit(1)))
         df = dict(docs.select("codes").mapInArrow(_frequencies(len(known)), "word int, df long").groupBy("word").agg(F.sum("df")).collect())
-        weight = np.log((1 + n) / (1 + np.array([df.get(i, 0) for i in range(len(known))], dtype=float))) + 0.1
-        found = docs.mapInArrow(_search(Index(coded, known, weight)), "doc_id long, item_id long")
-        out = found if out is None else out.unionByName(found)
+        weight = np.log((1 + seen["n"]) / (1 + np.array([df.get(i, 0) for i in range(len(known))], dtype=float))) + 0.1
+        while coded:
+            k, total = 0, 0
+            while k < len(coded) and (not k or total + len(coded[k][1]) <= words_a_pass):
+                total += len(coded[k][1])
+                k += 1
+            found = docs.mapInArrow(_search(Index(coded[:k], known, weight)), "doc_id long, item_id long")
+            out, coded = found if out is None else out.unionByName(found), coded[k:]
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long")
     return out.distinct()

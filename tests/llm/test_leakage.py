@@ -47,8 +47,64 @@ def test_blocks_find_every_fingerprint_within_the_radius():
     index = leakage.Index(items, known, np.ones(len(known)))
     doc = np.concatenate([items[3][1][:25], items[9][1][5:35], np.array([rng.randrange(len(known)) for _ in range(60)], dtype=np.int32)])
     prints = index.fingerprints(doc)
-    brute = {(int(index.owner[j]), p) for p, x in enumerate(prints) for j in np.flatnonzero(np.bitwise_count(index.prints ^ x) <= leakage.RADIUS)}
-    assert {(n, p) for n, ps in index.near(doc).items() for p in ps} == brute
+    brute = {(p, int(j)) for p, x in enumerate(prints) for j in np.flatnonzero(np.bitwise_count(index.prints ^ x) <= leakage.RADIUS)}
+    assert {(i, j) for i, j in zip(*(x.tolist() for x in index.within(prints)))} == brute and len(brute) > 30
+    # far fewer comparisons than all with all
+    other = np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64)
+    before = index.compared
+    index.within(other)
+    assert index.compared - before < 0.004 * len(other) * len(index.prints)
+
+
+def test_every_accepted_stretch_has_a_window_with_enough_pairs():
+    rng = random.Random(12)
+    item = np.arange(100, 160)
+    accepted = 0
+    for _ in range(6000):
+        lo, n = rng.randrange(0, 30), rng.randrange(20, 31)
+        part, k = list(range(lo, lo + n)), 0
+        while k < len(part):
+            if rng.random() < 0.16:
+                how = rng.randrange(3)
+                if how == 0:
+                    part[k] = None
+                elif how == 1:
+                    part.insert(k, None)
+                    k += 1
+                else:
+                    del part[k]
+            k += 1
+        codes = np.array([-1] * 12 + [-1 if x is None else item[x] for x in part] + [-1] * 12)
+        if leakage.aligned_span(codes, item):
+            accepted += 1
+            pairs = ((codes[1:] - codes[:-1] == 1) & (codes[1:] > 0) & (codes[:-1] > 0)).astype(int)
+            assert max(pairs[i : i + 9].sum() for i in range(len(pairs) - 8)) >= leakage.PAIRS
+    assert accepted > 300
+
+
+def test_openings_are_told_from_passages(spark, scratch):
+    rng = random.Random(15)
+    intro = "Look at the following account and then answer what is asked about it in one word or in two words please."
+    passages = [passage(rng, 24) + ". " + passage(rng, 30) + "." for _ in range(2)]
+    items = [(i, f"{passages[0]} {q}?") for i, q in enumerate(("who is kara", "where was that", "what for", "when then"))]
+    items += [(10 + i, f"{intro} {passage(rng, 30)}. And why?") for i in range(4)] + [(20, f"{intro} {passages[1]} Who?")]
+    docs = [(1, "so " + passages[0].split(".")[0] + " it was"), (2, intro + " No more."), (3, passages[1])]
+    assert find(spark, scratch, docs, items) == {(1, 0), (1, 1), (1, 2), (1, 3), (3, 20)}
+
+
+def test_passes_and_codings_give_the_same(spark, scratch):
+    rng = random.Random(16)
+    items = [(i, passage(rng, 45)) for i in range(40)]
+    docs = []
+    for d in range(120):
+        i, lo = rng.randrange(40), rng.randrange(20)
+        part = items[i][1].split()[lo : lo + 25]
+        for k in (4, 13, 20)[: rng.randrange(4)]:
+            part[k] = rng.choice(["other", part[k][:-1], part[k] + "x"])
+        docs.append((d, " ".join(["well", *part, "and", "so"])))
+    one = find(spark, scratch, docs, items)
+    assert len(one) > 80
+    assert one == find(spark, scratch, docs, items, words_a_pass=300) == find(spark, scratch, docs, items, words_a_pass=46)
 
 
 def test_alignment():
