@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from kinfold.storage import Scratch
 
-BLOCK_ENTITIES, BLOCK_CELLS, STEP_CELLS = 5000, 20_000_000, 8_000_000
+BLOCK_ENTITIES, PATTERNS_A_BATCH = 5000, 50_000
+LEAST_ENTITIES, LEAST_SUPPORT, BLOCK_LETTERS = 250, 10, 4_000_000  # a block of long sequences ends sooner, but not before these
 ITEMS_TO_BROADCAST, CANDIDATES_A_PASS = 50_000, 500_000
 
 
@@ -97,97 +98,108 @@ def _words(k: int):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], n_items: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Blocks of sequences as (number, next-occurrence table [sequence, position, item])."""
-    held, longest = [], 0
+class Block:
+    """Sequences as sorted lists of places: what is kept is in proportion to their letters, however many items there are."""
+
+    def __init__(self, words: list[list[int]], n_items: int):
+        self.n, self.n_items = len(words), n_items
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=self.n)
+        letters = np.fromiter((c for w in words for c in w), dtype=np.int64, count=int(sizes.sum()))
+        of = np.repeat(np.arange(self.n), sizes)
+        place = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.span = int(sizes.max(initial=0)) + 1
+        # of each (sequence, item) the places in order; code = (sequence, item, place)
+        self.code = np.sort((of * n_items + letters) * self.span + place)
+        own = self.code // self.span
+        last = np.flatnonzero(np.concatenate([own[1:] != own[:-1], [True]])) if len(own) else np.zeros(0, dtype=np.int64)
+        self.of, self.item, self.last = own[last] // n_items, own[last] % n_items, self.code[last] % self.span
+
+    def supports(self, at: np.ndarray) -> np.ndarray:
+        """For every item, in how many sequences it stands at the place `at` or later."""
+        return np.bincount(self.item[self.last >= at[self.of]], minlength=self.n_items)
+
+    def after(self, at: np.ndarray, item: int) -> np.ndarray:
+        """The places behind the first such item at `at` or later in each sequence; span where there is none."""
+        alive = np.flatnonzero(at < self.span)
+        own = (alive * self.n_items + item) * self.span
+        found = np.searchsorted(self.code, own + at[alive])
+        code = self.code[np.minimum(found, len(self.code) - 1)]
+        there = (found < len(self.code)) & (code < own + self.span)
+        out = np.full(self.n, self.span, dtype=np.int64)
+        out[alive[there]] = (code - own)[there] + 1
+        return out
+
+    def extensions(self, choose, depth: int, at: np.ndarray | None = None, pattern: tuple = ()) -> Iterator[tuple[tuple, int]]:
+        """(pattern, support) of the extensions that choose(pattern, supports) accepts, depth first; one list of places a level
+        is held."""
+        at = np.zeros(self.n, dtype=np.int64) if at is None else at
+        support = self.supports(at)
+        for c in choose(pattern, support):
+            yield (*pattern, c), int(support[c])
+            if depth > 1:
+                yield from self.extensions(choose, depth - 1, self.after(at, c), (*pattern, c))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], n_items: int, least: int) -> Iterator[Block]:
+    """Blocks of BLOCK_ENTITIES sequences, or of at least `least` if they have BLOCK_LETTERS letters; the last of a partition
+    may be smaller only if it is the only one."""
+    held, ready, letters = [], None, 0
     for batch in batches:
         for word in batch.column(0).to_pylist():
-            if held and (len(held) >= BLOCK_ENTITIES or (len(held) + 1) * (max(longest, len(word)) + 2) * n_items > BLOCK_CELLS):
-                yield len(held), _next_table(held, longest, n_items)
-                held, longest = [], 0
             held.append(word)
-            longest = max(longest, len(word))
-    if held:
-        yield len(held), _next_table(held, longest, n_items)
-
-
-def _next_table(words: list[list[int]], longest: int, n_items: int) -> np.ndarray:
-    """table[s, p, c]: position after the first c at or after p in sequence s; longest + 1 if there is none."""
-    fail = longest + 1
-    letters = np.full((len(words), longest), -1, dtype=np.int32)
-    for s, w in enumerate(words):
-        letters[s, : len(w)] = w
-    table = np.full((len(words), longest + 2, n_items), fail, dtype=np.int16 if fail < 32_000 else np.int32)
-    rows = np.arange(len(words))
-    for p in range(longest - 1, -1, -1):
-        table[:, p] = table[:, p + 1]
-        there = letters[:, p] >= 0
-        table[rows[there], p, letters[there, p]] = p + 1
-    return table
-
-
-def _extend(table: np.ndarray, at: np.ndarray, patterns: list[tuple], depth: int, choose) -> Iterator[tuple[tuple, int]]:
-    """(pattern, support) of the extensions that choose accepts, depth first in steps of bounded memory.
-
-    at[s, i]: position in sequence s after pattern i. choose(pattern, supports of its extensions) gives the items
-    to go on with.
-    """
-    n, _, n_items = table.shape
-    fail = table.shape[1] - 1
-    step = max(1, STEP_CELLS // (n * n_items))
-    rows = np.arange(n)[:, None]
-    for lo in range(0, len(patterns), step):
-        some = patterns[lo : lo + step]
-        after = table[rows, at[:, lo : lo + step]]
-        support = (after != fail).sum(axis=0)
-        onward, next_at = [], []
-        for i, pattern in enumerate(some):
-            for c in choose(pattern, support[i]):
-                onward.append((*pattern, c))
-                next_at.append((i, c))
-                yield onward[-1], int(support[i, c])
-        if depth > 1 and onward:
-            i, c = np.array(next_at).T
-            yield from _extend(table, after[:, i, c], onward, depth - 1, choose)
+            letters += len(word)
+            if len(held) >= BLOCK_ENTITIES or len(held) >= least and letters >= BLOCK_LETTERS:
+                if ready:
+                    yield Block(ready, n_items)
+                ready, held, letters = held, [], 0
+    if ready and len(held) >= least:
+        yield Block(ready, n_items)
+        ready = None
+    if ready or held:
+        yield Block([*(ready or []), *held], n_items)
 
 
 def _mine(n_items: int, share: Fraction, length: int):
     """Phase one: patterns with the share of a block's sequences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, table in _blocks(batches, n_items):
-            need = max(1, math.ceil(share * n))
-            start = np.zeros((n, 1), dtype=table.dtype)
-            found = [p for p, _ in _extend(table, start, [()], length, lambda _, s: np.flatnonzero(s >= need).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([list(p) for p in found], pa.list_(pa.int32()))], names=["pattern"])
+        for block in _blocks(batches, n_items, max(LEAST_ENTITIES, math.ceil(LEAST_SUPPORT / share))):
+            need = max(1, math.ceil(share * block.n))
+            found = []
+            for p, _ in block.extensions(lambda _, s, need=need: np.flatnonzero(s >= need).tolist(), length):
+                found.append(list(p))
+                if len(found) >= PATTERNS_A_BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["pattern"])
+                    found = []
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["pattern"])
 
     return run
 
 
 def _count(n_items: int, children: dict[tuple, list[int]], number: dict[tuple, int], length: int):
-    """Phase two: support of every candidate."""
+    """Phase two: support of every candidate. children: what to go on with, also from prefixes that are counted elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(number), dtype=np.int64)
-        for n, table in _blocks(batches, n_items):
-            start = np.zeros((n, 1), dtype=table.dtype)
-            for p, support in _extend(table, start, [()], length, lambda p, _: children.get(p, [])):
-                total[number[p]] += support
+        for block in _blocks(batches, n_items, LEAST_ENTITIES):
+            for p, support in block.extensions(lambda p, _: children.get(p, ()), length):
+                if p in number:
+                    total[number[p]] += support
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["i", "support"])
 
     return run
 
 
-def frequent_subsequences(events: DataFrame, share: str | Fraction, lengths: tuple[int, int], scratch: Scratch, block_entities: int = BLOCK_ENTITIES) -> DataFrame:
+def frequent_subsequences(events: DataFrame, share: str | Fraction, lengths: tuple[int, int], scratch: Scratch, block_entities: int = BLOCK_ENTITIES, candidates_a_pass: int = CANDIDATES_A_PASS) -> DataFrame:
     """(pattern, support) of the item sequences of lengths[0] to lengths[1], items joined by '>', that the given
     share of all entities hold in order, gaps and repeats allowed.
 
     events: (entity, item, time, tie), ordered by time, then tie (rows equal in both are ordered by item). Rows with
     a null in entity, item or time are left out; entities without other rows don't count. Items below the share are
     left out before sequences are built, as no frequent pattern holds them. An empty table gives an empty result.
-    The list of frequent items has at most (distinct items an entity, on average) / share entries; so many patterns a
-    length are locally frequent, too, with subsequences for items; both lists pass through the driver.
+    The list of frequent items has at most (distinct items an entity, on average) / share entries. Candidates are counted in
+    passes of about candidates_a_pass neighbours in the order of patterns, so the driver holds no more of them at a time.
     """
     spark, share = events.sparkSession, Fraction(share)
     events = scratch.cut(events.where("entity is not null and item is not null and time is not null").select("entity", "item", "time", "tie"), "events")
@@ -207,20 +219,25 @@ def frequent_subsequences(events: DataFrame, share: str | Fraction, lengths: tup
     joined = words.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("pid", "word"))).alias("w"))
     sequences = scratch.cut(joined.select(F.flatten(F.col("w.word")).alias("word")).repartition(max(1, math.ceil(total / block_entities))), "sequences")
 
-    local = sequences.mapInArrow(_mine(len(items), share, k), "pattern array<int>").distinct()
-    local = scratch.cut(local, "candidates")
-    firsts = [None] if local.count() <= CANDIDATES_A_PASS else range(len(items))
+    local = sequences.mapInArrow(_mine(len(items), share, k), "pattern array<int>").where(F.size("pattern") >= lengths[0]).distinct()
+    local, seen = scratch.measured(local, "candidates", n=F.count(F.lit(1)))
+    passes = max(1, math.ceil(seen["n"] / candidates_a_pass))
+    if passes > 1:
+        # ranges of patterns in their order, so a pass holds neighbours that share their prefixes
+        local = scratch.cut(local.repartitionByRange(passes, "pattern").withColumn("pass", F.spark_partition_id()), "passes")
     out = None
-    for first in firsts:
-        some = local if first is None else local.where(F.element_at("pattern", 1) == first)
-        patterns = [tuple(r[0]) for r in some.collect()]
+    for i in range(passes):
+        some = local if passes == 1 else local.where(F.col("pass") == i)
+        patterns = [tuple(r[0]) for r in some.select("pattern").collect()]
         number = {p: i for i, p in enumerate(patterns)}
-        children: dict[tuple, list[int]] = {}
+        children: dict[tuple, set[int]] = {}
         for p in patterns:
-            children.setdefault(p[:-1], []).append(p[-1])
-        counted = sequences.mapInArrow(_count(len(items), children, number, k), "i long, support long").groupBy("i").agg(F.sum("support").alias("support"))
+            for d in range(len(p)):
+                children.setdefault(p[:d], set()).add(p[d])
+        ways = {p: sorted(c) for p, c in children.items()}
+        counted = sequences.mapInArrow(_count(len(items), ways, number, k), "i long, support long").groupBy("i").agg(F.sum("support").alias("support"))
         counted = counted.where(F.col("support") >= need)
-        named = spark.createDataFrame([(i, ">".join(items[c] for c in p)) for p, i in number.items() if len(p) >= lengths[0]], "i long, pattern string")
+        named = spark.createDataFrame([(i, ">".join(items[c] for c in p)) for p, i in number.items()], "i long, pattern string")
         part = counted.join(named, "i").select("pattern", "support")
         out = part if out is None else out.unionByName(part)
-    return out
+    return empty if out is None else out
