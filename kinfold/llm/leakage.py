@@ -8,10 +8,11 @@ share of the item's word shingles in a stretch of the document, then by aligning
 
 Documents are read and coded once for all items; items are then searched for in passes of bounded size over the codes.
 Only windows that a stretch can be in are fingerprinted: of the 9 neighbouring word pairs of some window inside any stretch
-that `aligned_span` accepts, at least PAIRS stand side by side in the item as well. Proof: an edit makes at most two pairs
+that `aligned_span` accepts, at least PAIRS stand side by side in the item as well, and of some 23 neighbouring pairs STRETCH_PAIRS. Proof: an edit makes at most two pairs
 differ. Where edits are APART = 4 matching words apart, each second edit is five words on, so 9 pairs hold at most two edits
 and at least 5 pairs stay. Otherwise a stretch of n words has at most 0.15 n edits (4 points each, of 0.6 n at most) and (n - 16) / 4, and
-of its disjoint runs of 9 pairs the one with the fewest edits has at least 6 left.
+of its disjoint runs of 9 pairs the one with the fewest edits has at least 6 left. In the same way, 20 words with at most 4 edits keep
+11 of their 19 pairs, and 23 pairs of a longer stretch with at most 12 edits' worth of differing ones keep 11.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from kinfold.storage import Scratch
 STRETCH = 20  # successive words of an item that make a leak
 WINDOW = 10  # words of a fingerprint: a stretch with an edit here and there still holds nearly whole windows
 PAIRS = 5  # neighbouring words of a window that stand side by side in an item
+STRETCH_PAIRS = 11  # the same of STRETCH + 3 neighbouring pairs
 RADIUS, BLOCKS, BITS = 8, 11, 64
 SHINGLES = 0.35  # share of the weight of an item's shingles that a stretch must hold
 APART = 4  # matching words between two edits of a stretch
@@ -118,13 +120,14 @@ def _coded(known: list[str]):
         vocabulary = Vocabulary(known)
         for batch in batches:
             ids, codes, near = [], [], []
-            for i, text in zip(batch.column(0), batch.column(1).to_pylist()):
-                looked = [vocabulary.look(w) for w in words(text)]
-                found = np.array([n for n, _ in looked], dtype=np.int32)
-                if (found >= 0).sum() >= WINDOW:
-                    ids.append(i.as_py())
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen, look = vocabulary.seen.get, vocabulary.look
+                looked = [seen(w) or look(w) for w in words(text)]
+                found = np.fromiter((x[0] for x in looked), dtype=np.int32, count=len(looked))
+                if np.count_nonzero(found >= 0) >= WINDOW:
+                    ids.append(i)
                     codes.append(found.tobytes())
-                    near.append(np.array([(k, n) for k, (_, ns) in enumerate(looked) for n in ns], dtype=np.int32).tobytes())
+                    near.append(np.array([(k, n) for k, x in enumerate(looked) if x[1] for n in x[1]], dtype=np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.binary()), pa.array(near, pa.binary())], names=["id", "codes", "near"])
 
     return run
@@ -262,7 +265,8 @@ class Index:
         """(document, item, places): where a document (codes, near) may hold a stretch of an item.
 
         It does where a window has a fingerprint within the radius of one of the item's; and where three of the item's word
-        pairs lie close together if misspelt words are read otherwise than the fingerprints do.
+        pairs lie close together if misspelt words are read otherwise than the fingerprints do. Documents without
+        STRETCH_PAIRS pairs of the item in a stretch's length are left out.
         """
         sizes = np.array([len(c) for c, _ in docs], dtype=np.int64)
         begin = np.cumsum(sizes + 1) - sizes - 1
@@ -283,34 +287,47 @@ class Index:
         doc = np.searchsorted(begin, windows, side="right") - 1
         inside = windows + WINDOW <= begin[doc] + sizes[doc]
         windows, doc = windows[inside], doc[inside]
-        # pairs read otherwise, in documents that have such windows
-        ok = np.zeros(len(docs) + 1, dtype=bool)
-        ok[doc] = True
-        other = held[(read[a] | read[b])[held]]
-        other = other[ok[np.searchsorted(begin, place[a[other]], side="right") - 1]]
-        m = n[other] - first[other]
-        owner = self.pair_owner[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[other], m)].astype(np.int64)
-        spot = np.repeat(place[a[other]], m)
-        hits = np.unique(np.stack([np.searchsorted(begin, spot, side="right") - 1, owner, spot]), axis=1)
-        three = np.flatnonzero((hits[0, 2:] == hits[0, :-2]) & (hits[1, 2:] == hits[1, :-2]) & (hits[2, 2:] - hits[2, :-2] < STRETCH)) if hits.shape[1] > 2 else np.zeros(0, dtype=np.int64)
-        close = hits[:, np.unique(np.concatenate([three, three + 1, three + 2]))]
-        if len(windows):
-            codes_, planes = codes, self.planes
-            if len(at):  # the mean of all that a misspelt word may stand for
-                own, where = np.unique(at, return_inverse=True)
-                mean = np.zeros((len(own), BITS))
-                np.add.at(mean, where, self.planes[which])
-                codes_, planes = codes.copy(), np.concatenate([self.planes, mean / np.bincount(where)[:, None]])
-                codes_[own] = len(self.planes) + np.arange(len(own))
-                codes_[codes_ < 0] += len(self.planes)
-            i, j = self.within(self.fingerprints(codes_, windows, planes))
-            close = np.concatenate([close, np.stack([doc[i], self.owner[j].astype(np.int64), windows[i]])], axis=1)
-        if not close.shape[1]:
+        if not len(windows):
             return []
-        close = np.unique(close, axis=1)
-        starts = np.flatnonzero(np.concatenate([[True], (close[0, 1:] != close[0, :-1]) | (close[1, 1:] != close[1, :-1])]))
-        ends = [*starts[1:].tolist(), close.shape[1]]
-        return [(int(close[0, s]), int(close[1, s]), (close[2, s:e] - begin[close[0, s]]).tolist()) for s, e in zip(starts.tolist(), ends)]
+        # what is sought below is numbered item by item, place by place
+        span = len(codes) + STRETCH
+
+        def document(x: np.ndarray) -> np.ndarray:
+            return np.searchsorted(begin, x % span, side="right") - 1
+
+        def in_one(x: np.ndarray, k: int, reach: int) -> np.ndarray:
+            """Where k of sorted numbers lie within the reach, of one item and document."""
+            return np.flatnonzero((x[k - 1 :] - x[: len(x) - k + 1] < reach) & (document(x[k - 1 :]) == document(x[: len(x) - k + 1]))) if len(x) >= k else np.zeros(0, dtype=np.int64)
+
+        open_ = np.zeros(len(codes) + WINDOW, dtype=np.int64)
+        np.add.at(open_, windows, 1)
+        np.add.at(open_, windows + WINDOW - 1, -1)
+        held = held[np.cumsum(open_)[place[a[held]]] > 0]
+        m = n[held] - first[held]
+        owner = self.pair_owner[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[held], m)].astype(np.int64)
+        pairs = owner * span + np.repeat(place[a[held]], m)
+        # the proof holds for the pairs of one item: without STRETCH_PAIRS of its own close together, no stretch of it is there
+        every = np.unique(pairs)
+        many = every[in_one(every, STRETCH_PAIRS, STRETCH + 3)]
+        able = np.unique(many // span * len(docs) + document(many))
+        other = np.unique(pairs[np.repeat((read[a] | read[b])[held], m)])
+        three = in_one(other, 3, STRETCH)
+        codes_, planes = codes, self.planes
+        if len(at):  # the mean of all that a misspelt word may stand for
+            own, where = np.unique(at, return_inverse=True)
+            mean = np.zeros((len(own), BITS))
+            np.add.at(mean, where, self.planes[which])
+            codes_, planes = codes.copy(), np.concatenate([self.planes, mean / np.bincount(where)[:, None]])
+            codes_[own] = len(self.planes) + np.arange(len(own))
+            codes_[codes_ < 0] += len(self.planes)
+        i, j = self.within(self.fingerprints(codes_, windows, planes))
+        close = np.unique(np.concatenate([*(other[three + k] for k in range(3)), self.owner[j].astype(np.int64) * span + windows[i]]))
+        group = close // span * len(docs) + document(close)
+        some = np.isin(group, able)
+        close, group = close[some], group[some]
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist() if len(group) else []
+        found = [(int(group[s] % len(docs)), int(group[s] // len(docs)), close[s:e] % span) for s, e in zip(starts, [*starts[1:], len(group)])]
+        return [(d, k, (x - begin[d]).tolist()) for d, k, x in sorted(found, key=lambda f: f[:2])]
 
     def verify(self, codes: np.ndarray, n: int, at: list[int], stretch: int = STRETCH, options: list[tuple[tuple[int, bool], ...]] | None = None) -> bool:
         """Whether the document holds a stretch of item n about one of the places."""
@@ -334,12 +351,12 @@ class Index:
             for k, (a, b) in enumerate(zip(own, own[1:])):
                 if a and b:
                     weight[k] = max((self.weight[c] + self.weight[d] for c, _ in a for d, _ in b if c * self.n_words + d in known), default=0.0)
-            if _rolled(weight, STRETCH + 3).max() >= SHINGLES * mass and aligned_span(part, item, self.number, own) >= stretch:
+            if _rolled(weight, STRETCH + 3).max() >= SHINGLES * mass and aligned_span(part, item, self.number, own, enough=stretch) >= stretch:
                 return True
         return False
 
 
-def aligned_span(part: np.ndarray, item: np.ndarray, number: np.ndarray | None = None, options: list[tuple[tuple[int, bool], ...]] | None = None, edit: int = 4, quality: float = 0.4, least: int = STRETCH - 4, apart: int = APART) -> int:
+def aligned_span(part: np.ndarray, item: np.ndarray, number: np.ndarray | None = None, options: list[tuple[tuple[int, bool], ...]] | None = None, edit: int = 4, quality: float = 0.4, least: int = STRETCH - 4, apart: int = APART, enough: int | None = None) -> int:
     """Words of the item in the longest stretch that the part holds in order, 0 if there is none of STRETCH words.
 
     A stretch is a chain of matching cells that goes on over single words changed, dropped or added, at its start as at
@@ -347,6 +364,7 @@ def aligned_span(part: np.ndarray, item: np.ndarray, number: np.ndarray | None =
     which STRETCH words with one edit have, or if its edits are `apart` matching words apart and none is of a number
     (number: whether a code is one): texts of the same pattern with other names and numbers stay below that.
     options: for each word of the part, all that it may stand for; what is False there must have no edit beside it.
+    enough: with a stretch of so many words no longer one is looked for.
     """
     places: dict[int, list[int]] = {}
     for j, c in enumerate(item.tolist()):
@@ -386,6 +404,8 @@ def aligned_span(part: np.ndarray, item: np.ndarray, number: np.ndarray | None =
                 if span > best and span - edit * k >= max(least, quality * span):
                     best = span
             best = max(best, j - min(runs.values()) + 1)
+        if enough is not None and best >= enough:
+            break
         rows, before = [rows[1], new], c
     return best if best >= STRETCH else 0
 

@@ -61,7 +61,7 @@ def test_every_accepted_stretch_has_a_window_with_enough_pairs():
     item = np.arange(100, 160)
     accepted = 0
     for _ in range(6000):
-        lo, n = rng.randrange(0, 30), rng.randrange(20, 31)
+        lo, n = rng.randrange(0, 15), rng.randrange(20, 46)
         part, k = list(range(lo, lo + n)), 0
         while k < len(part):
             if rng.random() < 0.16:
@@ -79,6 +79,7 @@ def test_every_accepted_stretch_has_a_window_with_enough_pairs():
             accepted += 1
             pairs = ((codes[1:] - codes[:-1] == 1) & (codes[1:] > 0) & (codes[:-1] > 0)).astype(int)
             assert max(pairs[i : i + 9].sum() for i in range(len(pairs) - 8)) >= leakage.PAIRS
+            assert max(pairs[i : i + 23].sum() for i in range(len(pairs) - 22)) >= leakage.STRETCH_PAIRS
     assert accepted > 300
 
 
