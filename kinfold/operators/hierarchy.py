@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.functions.records import MAX_FAN
+from kinfold.operators.places import places
 from kinfold.storage import Scratch
 
 WIDTH = 4  # levels of the first frontier
@@ -152,3 +154,25 @@ def hierarchy(nodes: DataFrame, items: DataFrame, scratch: Scratch, width: int =
         F.lit("").alias("full_path"),
     )
     return done.unionByName(odd)
+
+
+def positional_codes(tree: DataFrame, scratch: Scratch, fan: int = MAX_FAN) -> DataFrame:
+    """(scope, id, depth, place, above) of the nodes of `resolve`: depth from 1, the place among the nodes of the same parent
+    by id (from 0; `fan` for all beyond that many), and the places of the ancestors, the root first."""
+    parent = F.coalesce(F.element_at(F.when(F.size("ancestors") > 0, F.col("ancestors")), -1), F.lit(""))
+    rows = tree.select("scope", "id", parent.alias("parent"), "ancestors")
+    placed = scratch.cut(places(rows, ["scope", "parent"], ["id"], scratch).withColumn("place", F.least(F.col("place") - 1, F.lit(fan))), "placed")
+    each = placed.select("scope", F.col("id").alias("node"), F.posexplode("ancestors").alias("i", "id")).join(placed.select("scope", "id", "place"), ["scope", "id"])
+    # one entry an ancestor: as long as the list that the node has already
+    above = each.groupBy("scope", F.col("node").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "place"))), lambda s: s["place"]).alias("above"))
+    none = F.array().cast("array<bigint>")
+    return placed.join(above, ["scope", "id"], "left").select("scope", "id", (F.size("ancestors") + 1).cast("long").alias("depth"), "place", F.coalesce("above", none).alias("above"))
+
+
+def siblings(chosen: DataFrame, tree: DataFrame) -> DataFrame:
+    """(scope, id, level, sibling_id): for each chosen node (of `resolve`) its ancestors, level 1 being the parent, with all
+    nodes of the tree that have the same parent as the ancestor, itself included; roots are beside roots."""
+    parent = F.coalesce(F.element_at(F.when(F.size("ancestors") > 0, F.col("ancestors")), -1), F.lit(""))
+    up = chosen.select("scope", "id", F.size("ancestors").alias("n"), F.posexplode("ancestors").alias("i", "ancestor"), "ancestors")
+    up = up.select("scope", "id", (F.col("n") - F.col("i")).alias("level"), F.when(F.col("i") > 0, F.get("ancestors", F.col("i") - 1)).otherwise("").alias("parent"))
+    return up.join(tree.select("scope", parent.alias("parent"), F.col("id").alias("sibling_id")), ["scope", "parent"]).select("scope", "id", "level", "sibling_id")
