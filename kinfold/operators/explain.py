@@ -1,8 +1,7 @@
-"""Decision rules for groups: greedy token sets and two-level trees, one group a task run.
+"""Decision rules for groups: greedy token sets and two-level trees.
 
-A group is a set of items of a scope that a rule should tell from the others. Both searches look at a sample of each
-scope, of a bounded number of rows drawn by hash, as the number of rules they try grows with the square of the rows.
-The leaves of trees are then counted over all rows; the scores of token sets are still those of the sample.
+A group is a set of items of a scope that a rule should tell from the others. Token sets are found by aggregates over all
+items. Trees are fitted on a bounded sample of each scope, drawn by hash; their leaves are then counted over all rows.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.measures import WEIGHTS
+from kinfold.functions.measures import balanced as balanced_column
 from kinfold.operators.places import first_rows
 from kinfold.storage import Scratch
 
@@ -87,25 +87,69 @@ def tree(x: np.ndarray, y: np.ndarray, names: list[str], depth: int = 2) -> list
     return grow(np.arange(len(y)), "", [], depth)
 
 
-def token_sets(rows: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> DataFrame:
-    """(scope, grp, rule, score): the greedy rule of each group (rows: scope, grp, item, tokens array).
+def _holders(items: DataFrame, sets: DataFrame, rare: DataFrame) -> DataFrame:
+    """Items (scope, item, tokens, grp) with each of the sets (scope, s: array) that they hold, s not empty.
 
-    Of each scope at most `sample` items are looked at, drawn by the SHA-256 of the item; a group with none has no rule.
+    They meet on the rarest token of the set, so a set meets no more items than hold that token.
     """
-    some = first_rows(rows.where("scope is not null and grp is not null and item is not null").select("scope", F.sha2("item", 256).alias("h"), "item", "grp", "tokens"), ["scope"], ["h", "item"], sample)
+    each = sets.select("scope", "s", F.explode("s").alias("token")).join(rare, ["scope", "token"])
+    key = each.groupBy("scope", "s").agg(F.min(F.struct("n", "token")).alias("m")).select("scope", "s", F.col("m.token").alias("token"))
+    at = items.select("scope", "item", "grp", "tokens", F.explode("tokens").alias("token"))
+    return at.join(key, ["scope", "token"]).where(F.size(F.array_except("s", "tokens")) == 0).select("scope", "s", "item", "grp", "tokens")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("place")
-        sets = [set(t) - {""} if t is not None else set() for t in part["tokens"]]
-        out = []
-        for grp in sorted(set(part["grp"])):
-            own = (part["grp"] == grp).to_numpy()
-            rule, score = greedy_tokens([s for s, o in zip(sets, own) if o], [s for s, o in zip(sets, own) if not o])
-            if rule:
-                out.append((part["scope"].iloc[0], grp, " or ".join("+".join(s) for s in rule), score))
-        return pd.DataFrame(out, columns=["scope", "grp", "rule", "score"])
-
-    return some.groupBy("scope").applyInPandas(run, "scope string, grp string, rule string, score double")
+
+def token_sets(rows: DataFrame, scratch: Scratch, alternatives: int = 2) -> DataFrame:
+    """(scope, grp, rule, score): the greedy rule of each group (rows: scope, grp, item, tokens array), as `greedy_tokens` finds
+    it with all items of the scope; groups that no token tells have no rule.
+
+    All groups grow their sets side by side, a token a round. What a token would add is counted by aggregates: of the own
+    items directly, of the scope's by the items that hold the set (each different set once, whatever the number of groups
+    that have it); the items of an earlier set are taken off by counting those that hold both sets.
+    """
+    ok = rows.where("scope is not null and grp is not null and item is not null")
+    tokens = F.array_sort(F.array_distinct(F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda t: t.isNotNull() & (t != ""))))
+    items = scratch.cut(ok.select("scope", "grp", F.struct("grp", "item").alias("item"), tokens.alias("tokens")), "items")
+    rare = scratch.cut(items.select("scope", F.explode("tokens").alias("token")).groupBy("scope", "token").agg(F.count(F.lit(1)).alias("n")), "rare")
+    none = F.array().cast("array<string>")
+    # rule: the finished sets; own: the set that grows; k, o: items in and outside that the finished sets fit
+    state = items.groupBy("scope", "grp").agg(F.count(F.lit(1)).alias("size"))
+    state = scratch.cut(state.select("scope", "grp", "size", F.array().cast("array<array<string>>").alias("rule"), none.alias("own"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("o"), F.lit(0).cast("long").alias("ok"), F.lit(0).cast("long").alias("oo"), F.lit(0.0).alias("best"), F.lit(False).alias("done")), "state")
+    while True:
+        open_ = state.where("not done")
+        before = F.when(F.size("rule") > 0, F.col("rule")[0]).otherwise(none)
+        asked = scratch.cut(open_.select("scope", "grp", "own", before.alias("before"), F.array_sort(F.array_union("own", before)).alias("both")), "asked")
+        left = (F.size(F.array_except("own", "tokens")) == 0) & ((F.size("before") == 0) | (F.size(F.array_except("before", "tokens")) > 0))
+        inside = items.join(asked, ["scope", "grp"]).where(left).select("scope", "grp", F.explode(F.array_except("tokens", "own")).alias("token"))
+        inside = inside.groupBy("scope", "grp", "token").agg(F.count(F.lit(1)).alias("i"))
+        # of the scope: what holds own and the token, less what holds the earlier set as well
+        sets = asked.select("scope", F.col("own").alias("s")).unionByName(asked.where("size(before) > 0").select("scope", F.col("both").alias("s"))).where("size(s) > 0").distinct()
+        held = _holders(items, scratch.cut(sets, "sets"), rare).select("scope", "s", F.explode("tokens").alias("token")).groupBy("scope", "s", "token").agg(F.count(F.lit(1)).alias("n"))
+        held = scratch.cut(held.unionByName(rare.select("scope", none.alias("s"), "token", "n")), "held")
+        tried = inside.join(asked, ["scope", "grp"])
+        tried = tried.join(held.select("scope", F.col("s").alias("own"), "token", "n"), ["scope", "own", "token"])
+        tried = tried.join(held.select("scope", F.col("s").alias("both"), "token", F.col("n").alias("shared")), ["scope", "both", "token"], "left")
+        n_all = F.col("n") - F.when(F.size("before") > 0, F.coalesce("shared", F.lit(0))).otherwise(0)
+        tried = tried.select("scope", "grp", "token", "i", (n_all - F.col("i")).alias("x")).join(open_.select("scope", "grp", "size", "k", "o"), ["scope", "grp"])
+        recall, precision = (F.col("k") + F.col("i")) / F.col("size"), (F.col("k") + F.col("i")) / (F.col("size") + F.col("o") + F.col("x"))
+        tried = tried.withColumn("score", F.round(balanced_column(recall, precision), 5))
+        found = tried.groupBy("scope", "grp").agg(F.min(F.struct((-F.col("score")).alias("s"), "token", "i", "x")).alias("t"))
+        grown = open_.join(found, ["scope", "grp"], "left")
+        better = F.coalesce(-F.col("t.s") > F.col("best"), F.lit(False))
+        ends = ~better & ((F.size("own") == 0) | (F.size("rule") + 1 >= alternatives))
+        rule = F.when(better | (F.size("own") == 0), F.col("rule")).otherwise(F.concat("rule", F.array("own")))
+        fixed = better | (F.size("own") == 0)
+        grown = grown.select(
+            "scope", "grp", "size", rule.alias("rule"), F.when(better, F.concat("own", F.array("t.token"))).otherwise(none).alias("own"),
+            F.when(fixed, F.col("k")).otherwise(F.col("k") + F.col("ok")).alias("k"), F.when(fixed, F.col("o")).otherwise(F.col("o") + F.col("oo")).alias("o"),
+            F.when(better, F.col("t.i")).otherwise(0).cast("long").alias("ok"), F.when(better, F.col("t.x")).otherwise(0).cast("long").alias("oo"),
+            F.when(better, -F.col("t.s")).otherwise(F.col("best")).alias("best"), ends.alias("done"),
+        )
+        old = state
+        state, seen = scratch.measured(state.where("done").unionByName(grown), "state", n=F.sum((~F.col("done")).cast("long")))
+        scratch.drop(old, asked, held)
+        if not seen["n"]:
+            break
+    return state.where("size(rule) > 0").select("scope", "grp", F.array_join(F.transform("rule", lambda s: F.array_join(s, "+")), " or ").alias("rule"), F.col("best").alias("score"))
 
 
 def leaves(rows: DataFrame, features: list[str], scratch: Scratch, depth: int = 2, sample: int = SAMPLE) -> DataFrame:

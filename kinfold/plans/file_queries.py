@@ -277,7 +277,7 @@ def folder_kinds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_sets(spark: SparkSession, folder: str) -> DataFrame:
-    """The greedy rule of name tokens of every folder's files, of a bounded sample of each user's."""
+    """The greedy rule of name tokens of every folder's files, among all files of the user."""
     files = _new(spark, folder, "files", ["name", "parent_id"])
     rows = files.select(F.col("user_id").alias("scope"), F.col("parent_id").alias("grp"), F.col("id").alias("item"), text.name_tokens(F.col("name")).alias("tokens"))
     return explain.token_sets(rows, Scratch(spark, "sets")).withColumnsRenamed({"scope": "user_id", "grp": "parent_id"})

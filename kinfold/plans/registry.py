@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinfold.plans import command_queries, core_problems, feature_queries, file_queries, stream_queries, text_queries
+from kinfold.plans import command_queries, core_problems, feature_queries, file_queries, source_queries, stream_queries, text_queries
 
-_MODULES = [core_problems, file_queries, text_queries, stream_queries, command_queries, feature_queries]
+_MODULES = [core_problems, file_queries, text_queries, stream_queries, command_queries, feature_queries, source_queries]
 
 
 def queries() -> dict:

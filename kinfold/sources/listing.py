@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # fixed values: the type of a folder, and the columns read of a record
 FOLDER_TYPE = "application/vnd.google-apps.folder"
@@ -53,38 +52,3 @@ def shares(records: DataFrame, scope: str = "user_id") -> DataFrame:
     each = records.select(scope, "id", F.explode("permissions").alias("p"))
     return each.where("p.emailAddress is not null and coalesce(p.role, '') <> 'owner'").select(scope, "id", F.col("p.emailAddress").alias("shared_user")).distinct()
 
-
-class _Page(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class _Pages(DataSourceReader):
-    def __init__(self, options):
-        self.path = options["path"]
-
-    def partitions(self):
-        import glob
-
-        return [_Page(p) for p in sorted(glob.glob(f"{self.path}/*.json"))]
-
-    def read(self, page):
-        import json
-
-        with open(page.path) as f:
-            for record in json.load(f).get("files", []):
-                yield (page.path.rsplit("/", 1)[1], json.dumps(record))
-
-
-class PagedListing(DataSource):
-    """Saved answers of a paged listing service, one partition a page: (page, value), value the record's JSON."""
-
-    @classmethod
-    def name(cls):
-        return "paged_listing"
-
-    def schema(self):
-        return "page string, value string"
-
-    def reader(self, schema):
-        return _Pages(self.options)

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -52,3 +53,20 @@ def test_leaves_count_all_rows_not_the_sample(spark, scratch):
     df = spark.createDataFrame(rows, "scope string, item string, label boolean, f double, g double")
     found = {tuple(r) for r in explain.leaves(df, ["f", "g"], scratch, sample=40).collect()}
     assert found == {("u", "f <= 0.5", 50, 0), ("u", "f > 0.5", 150, 150)}
+
+
+def test_token_sets_equal_the_greedy_search_over_all_items(spark, scratch):
+    rng = random.Random(5)
+    rows = [(rng.choice("uv"), f"g{rng.randrange(4)}", f"{i}", rng.sample("abcdefgh", rng.randrange(0, 5)) + [""]) for i in range(120)]
+    rows += [("u", "g0", "0", ["a"]), ("w", "only", "1", ["z", "z"]), ("w", "only", "2", None), ("x", "none", "3", []), (None, "g", "4", ["a"]), ("u", None, "5", ["a"])]
+    df = spark.createDataFrame([(*r, 1.0, True) for r in rows], "scope string, grp string, item string, tokens array<string>, best double, done boolean")
+    expected = {}
+    for scope in "uvwx":
+        own = [(g, set(t or ()) - {""}) for s, g, _, t in rows if s == scope and g]
+        for grp in {g for g, _ in own}:
+            rule, score = explain.greedy_tokens([t for g, t in own if g == grp], [t for g, t in own if g != grp])
+            if rule:
+                expected[scope, grp] = (" or ".join("+".join(s) for s in rule), score)
+    found = {(r["scope"], r["grp"]): (r["rule"], r["score"]) for r in explain.token_sets(df, scratch).collect()}
+    assert found == expected and any(" or " in r for r, _ in found.values()) and any("+" in r for r, _ in found.values())
+    assert explain.token_sets(df.limit(0), scratch).count() == 0

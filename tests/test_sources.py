@@ -1,10 +1,14 @@
+import hashlib
 import io
 import json
+import time
 import zipfile
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from kinfold.sources import activity, content, listing
+from kinfold.sources import activity, content, listing, paged
 from kinfold.streaming import sessions as stream
 
 
@@ -18,8 +22,10 @@ def test_listing(spark, tmp_path):
     ]
     for n in range(2):
         (tmp_path / f"page-{n}.json").write_text(json.dumps({"files": records[n * 3 : n * 3 + 3], "nextPageToken": "t"}))
-    spark.dataSource.register(listing.PagedListing)
-    lines = spark.read.format("paged_listing").load(str(tmp_path)).select(F.lit("u").alias("user_id"), "value")
+    (tmp_path / "other.json").write_text("no answer")
+    pages = paged.saved_pages(spark, str(tmp_path))
+    assert {(r["page"]) for r in pages.collect()} == {"page-0.json", "page-1.json"}
+    lines = pages.select(F.lit("u").alias("user_id"), "value")
     parsed = listing.parse(lines.unionByName(spark.createDataFrame([("u", "no json")], "user_id string, value string")))
     files, folders = listing.split(parsed)
     assert [(r["id"], r["name"], r["parent_id"], r["size"], r["last_modified"]) for r in files.collect()] == [("1", "new", "root", None, 1451692800)]
@@ -64,7 +70,7 @@ def test_content(spark, tmp_path):
     rows = {r["path"].rsplit("/", 1)[1]: (r["text"], r["error"] is not None) for r in content.texts(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
     assert rows["a.docx"] == ("one\n\ntwo", False) and rows["c.pptx"] == ("slide", False) and rows["d.html"] == ("bold text", False)
     assert rows["e.md"] == ("Head\nlink it", False) and rows["f.csv"] == ("a b", False) and rows["g.rtf"] == ("", False) and rows["h.bin"] == (None, False)
-    assert rows["i.docx"] == (None, True) and rows["j.txt"] == (" ", False) and rows["k.TXT"] == ("ä", False) and rows["b.odt"][0].startswith("odd in")
+    assert rows["i.docx"] == (None, True) and rows["j.txt"] == (" ", False) and rows["k.TXT"] == ("ä", False) and rows["b.odt"][0].startswith("odd  in")
 
 
 def test_header_row(spark):
@@ -85,3 +91,74 @@ def test_stream_functions(spark, tmp_path):
     assert sorted(r["n"] for r in out(stream.windows(read(), "2 minutes", "1 minute"), "complete", "w")) == [1, 3]
     assert len(out(stream.once(read(), ["key", "ts"], "ts", "1 hour"), "append", "o")) == 3
     assert [r["v"] for r in out(stream.latest(read(), ["key"], "ts", ["v"]), "complete", "l")] == [3]
+
+
+PAGES = {None: (['{"id": "1"}', '{"id": "2"}'], "b"), "b": ([], "c"), "c": (['{"id": "3"}'], None)}
+
+
+def fetch(token):
+    """A service of three pages."""
+    return PAGES[token]
+
+
+def test_a_busy_service_is_asked_again():
+    answers, waits = [paged.ServiceError(429), paged.ServiceError(403), (["x"], None)], []
+
+    def busy(token):
+        answer = answers.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    assert paged.asked(busy, None, 2, 7, waits.append) == (["x"], None) and waits == [7, 7]
+    answers[:] = [paged.ServiceError(429)] * 2
+    with pytest.raises(paged.ServiceError):
+        paged.asked(busy, None, 1, 7, waits.append)
+    answers[:] = [paged.ServiceError(500)]
+    with pytest.raises(paged.ServiceError):
+        paged.asked(busy, None, 5, 7, waits.append)
+    assert not answers
+
+
+def test_paged_service(spark, scratch):
+    spark.dataSource.register(paged.PagedService)
+    read = spark.read.format("paged_service").option("fetch", "tests.test_sources:fetch").load()
+    assert sorted(tuple(r) for r in read.collect()) == [(0, '{"id": "1"}'), (0, '{"id": "2"}'), (2, '{"id": "3"}')]
+    stream = spark.readStream.format("paged_service").option("fetch", "tests.test_sources:fetch").load()
+    out = f"{scratch.path}/out"
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{scratch.path}/cp").trigger(processingTime="100 milliseconds").start(out)
+    try:
+        end = time.time() + 90
+        while time.time() < end and (not query.lastProgress or query.lastProgress["sources"][0]["endOffset"] is None or '"end": true' not in json.dumps(query.lastProgress["sources"][0]["endOffset"]).replace("\\", "")):
+            time.sleep(0.3)
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [(0, '{"id": "1"}'), (0, '{"id": "2"}'), (2, '{"id": "3"}')]
+
+
+def _workbook():
+    m = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    shared = f"<sst {m}><si><t>First Name</t></si><si><r><t>A</t></r><r><t>ge</t></r></si><si><t>Anna</t></si></sst>"
+    sheet = f'<worksheet {m}><sheetData><row><c t="inlineStr"><is><t></t></is></c></row><row><c t="s"><v>0</v></c><c t="s"><v>1</v></c></row><row><c t="s"><v>2</v></c><c><v>7</v></c></row></sheetData></worksheet>'
+    return _zip(xl__sharedStrings_xml=shared, xl__worksheets__sheet1_xml=sheet)
+
+
+def _document():
+    shown = zlib.compress(b"BT /F1 12 Tf (Hel) Tj [(lo) -20 ( w\\(or\\)ld)] TJ ET BT (next) Tj ET")
+    return b"%PDF-1.4\n1 0 obj << /Length 9 >>\nstream\n" + shown + b"\nendstream endobj\n5 0 obj << /Title (A \\(b\\)) /Author (Ann) /Producer (\xff) >> endobj\ntrailer << /Info 5 0 R >>"
+
+
+def test_workbooks_documents_and_folders(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, raw in {"a.xlsx": _workbook(), "in/b.pdf": _document(), "in/c.XLSX": b"broken", "d": b"x", "e.pdf": b"%PDF"}.items():
+        (tmp_path / name).write_bytes(raw)
+    files = content.binary_files(spark, str(tmp_path))
+    texts = {r["path"].rsplit("/", 1)[1]: (r["text"], r["error"] is not None) for r in content.texts(files).collect()}
+    assert texts == {"a.xlsx": (" First Name Age Anna", False), "b.pdf": ("Hello w(or)ld\nnext", False), "c.XLSX": (None, True), "d": (None, False), "e.pdf": ("", False)}
+    found = {r["path"].rsplit("/", 1)[1]: (r["metadata"], r["header"]) for r in content.described(files).collect()}
+    assert found["a.xlsx"] == (None, ["firstname", "age"]) and found["c.XLSX"] == (None, None) and json.loads(found["e.pdf"][0]) == {}
+    assert json.loads(found["b.pdf"][0]) == {"Title": "A (b)", "Author": hashlib.sha256(b"Ann").hexdigest(), "Producer": ""}
+    walked = {r["id"]: (r["name"], r["parent_id"], r["file_extension"], r["size"]) for r in content.walk(spark, str(tmp_path), "u").collect()}
+    assert walked["in/b.pdf"] == ("b.pdf", "in", "pdf", len(_document())) and walked["d"] == ("d", "root", "", 1) and len(walked) == 5
+    assert content.binary_files(spark, str(tmp_path), limit=1).count() == 1
