@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from kinfold.storage import Scratch, VersionedTable
 
 BUCKET_S, FANOUT, PARTS, SPAN_S = 6 * 3600, 1024, 16, 7 * 86400
+BUCKET_GAPS, SPAN_GAPS = 12, 336  # buckets and spans are at least so many gaps long
 
 SCHEMA = T.StructType(
     [
@@ -87,22 +88,24 @@ class SessionTable:
 
     Sessions lie in parts by the span of time that they start in and by a hash of their key. The manifest knows the times
     of every part, so a batch reads only parts that hold its keys' hashes and reach its times, and writes only those of
-    them in which a session changes or is new. parts: hashes a span; a table keeps the number that it was made with.
+    them in which a session changes or is new. parts: hashes a span; span_s: seconds of a span; a table keeps those that it was
+    made with.
     """
 
-    def __init__(self, spark: SparkSession, path: str, gap: int, bucket_s: int = BUCKET_S, parts: int = PARTS):
-        self.spark, self.gap, self.bucket_s = spark, gap, bucket_s
+    def __init__(self, spark: SparkSession, path: str, gap: int, bucket_s: int | None = None, parts: int = PARTS, span_s: int | None = None):
+        self.spark, self.gap, self.bucket_s = spark, gap, bucket_s or max(BUCKET_S, BUCKET_GAPS * gap)
         self.table = VersionedTable(spark, path, SCHEMA, ("start", "end"))
         held = self.table.manifest()[1]["parts"]
-        self.parts = int(next(iter(held)).split("-")[0]) if held else parts
+        layout = next(iter(held)).split("-")[0].split("x") if held else (parts, span_s or max(SPAN_S, SPAN_GAPS * gap))
+        self.parts, self.span_s = int(layout[0]), int(layout[1])
         self.scratch = Scratch(spark, "sessions")
 
     def _hash(self) -> Column:
         return F.pmod(F.xxhash64("key"), F.lit(self.parts))
 
     def _part(self) -> Column:
-        """Number of hashes, span and hash: names of parts tell how the table is laid out."""
-        return F.concat_ws("-", F.lit(str(self.parts)), F.replace(_bucket(F.col("start"), 0, SPAN_S).cast("string"), F.lit("-"), F.lit("m")), self._hash().cast("string"))
+        """Layout, span and hash: names of parts tell how the table is laid out."""
+        return F.concat_ws("-", F.lit(f"{self.parts}x{self.span_s}"), F.replace(_bucket(F.col("start"), 0, self.span_s).cast("string"), F.lit("-"), F.lit("m")), self._hash().cast("string"))
 
     def _near(self, df: DataFrame, names: list[str]) -> DataFrame:
         """One row for each bucket that the interval, widened by the gap, touches."""
@@ -112,7 +115,7 @@ class SessionTable:
     def _reached(self, local: DataFrame, held: dict) -> list[str]:
         """Stored parts that may hold a session within the gap of a local one; local ones are summed up by hash and span."""
         spans: dict[str, list[tuple[int, int]]] = {}
-        for h, lo, hi in local.groupBy(self._hash().alias("h"), _bucket(F.col("start"), 0, SPAN_S).alias("s")).agg(F.min("start"), F.max("end")).select("h", "min(start)", "max(end)").collect():
+        for h, lo, hi in local.groupBy(self._hash().alias("h"), _bucket(F.col("start"), 0, self.span_s).alias("s")).agg(F.min("start"), F.max("end")).select("h", "min(start)", "max(end)").collect():
             spans.setdefault(str(h), []).append((lo - self.gap, hi + self.gap))
         return [k for k, v in held.items() if any(lo <= v["hi"] and hi >= v["lo"] for lo, hi in spans.get(k.rsplit("-", 1)[1], ()))]
 

@@ -20,7 +20,7 @@ from kinfold.sources.tables import table
 from kinfold.storage import Scratch
 
 UNTIL = 1455000000  # 2016-02-09 06:40:00
-TOGETHER_S = 120  # fixed value: the pause that parts sessions of commands
+MOVES_S, REMOVALS_S = 90 * 86400, 20 * 86400
 
 
 def _log(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,9 +70,8 @@ def known_commands(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def new_folders(spark: SparkSession, folder: str) -> DataFrame:
-    """Folders that a command made: of the same user and name, with the time of the last such command."""
-    made = _log(spark, folder).where(F.col("cmd").isin(*commands.MAKING) & F.col("new_name").isNotNull()).groupBy("user_id", F.col("new_name").alias("name")).agg(F.max("time").alias("made_at"))
-    return _new(spark, folder, "folders", ["name"]).join(made, ["user_id", "name"]).select("user_id", "id", "name", "made_at")
+    """Commands that made a folder, with the object that each concerned."""
+    return _logged(spark, folder).where(F.col("cmd").isin(*commands.MAKING)).select("user_id", "cmd_id", "time", "object_id")
 
 
 def files_as_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,18 +98,24 @@ def last_touches(spark: SparkSession, folder: str) -> DataFrame:
     return files.join(last, ["user_id", "object_id"], "left").select("user_id", "id", F.coalesce("t", F.lit(0)).alias("last_touch"))
 
 
+def _order_items(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, time, target, item, flag): orders as commands and their lines as what these concern."""
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("string").alias("key"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("time"))
+    lines = table(spark, folder, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("string").alias("target"), F.col("l_partkey").cast("string").alias("item"), F.col("l_returnflag").alias("flag"))
+    return lines.join(orders, "l_orderkey").drop("l_orderkey")
+
+
 def moved_together(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of objects that went to the same folder in one session of moves."""
-    events = _logged(spark, folder).where(F.col("cmd").isin(*commands.MOVING) & F.col("target_id").isNotNull())
-    found = comanaged(events.select(F.col("user_id").alias("key"), "time", F.col("target_id").alias("target"), F.col("object_id").alias("item")), TOGETHER_S, Scratch(spark, "moves"))
-    return found.select(F.col("key").alias("user_id"), "target", "a", "b")
+    """Pairs of parts of the same supplier in one session of a customer's orders, at pauses of more than 90 days."""
+    found = comanaged(_order_items(spark, folder).select("key", "time", "target", "item"), MOVES_S, Scratch(spark, "moves"))
+    return found.select(F.col("key").alias("custkey"), "session_start", "target", "a", "b")
 
 
-def deleted_together(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of objects that were removed in one session of removals."""
-    events = _logged(spark, folder).where(F.col("cmd").isin(*commands.REMOVING))
-    found = comanaged(events.select(F.col("user_id").alias("key"), "time", F.lit("").alias("target"), F.col("object_id").alias("item")), TOGETHER_S, Scratch(spark, "removals"))
-    return found.select(F.col("key").alias("user_id"), "a", "b")
+def removed_together(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of returned parts in one session of a customer's orders, at pauses of more than 20 days."""
+    events = _order_items(spark, folder).where("flag = 'R'").select("key", "time", F.lit("").alias("target"), "item")
+    found = comanaged(events, REMOVALS_S, Scratch(spark, "removals"))
+    return found.select(F.col("key").alias("custkey"), "session_start", "a", "b")
 
 
 def pair_lookup(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,7 +165,7 @@ def ranked_scores(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        command_items, command_moves, command_objects, known_commands, new_folders, files_as_of, files_now, visible_files, last_touches, moved_together, deleted_together,
+        command_items, command_moves, command_objects, known_commands, new_folders, files_as_of, files_now, visible_files, last_touches, moved_together, removed_together,
         pair_lookup, command_batches, merged_scores, upserted_files, ranked_scores,
     )
 }
@@ -188,15 +193,16 @@ from {_sql_new('files')} f left join c on c.user_id = f.user_id and c.id = f.pat
 """
 
 
-def _sql_together(cond: str, target: str) -> str:
+def _sql_together(cond: str, target: str, gap: int) -> str:
     return f"""
-with {_LOGGED}, e as (select user_id, time as t, {target} as target, object_id as item from li where {cond}),
-m as (select *, case when t - lag(t) over (partition by user_id order by t) <= {TOGETHER_S} then 0 else 1 end as fresh from e),
-s as (select *, sum(fresh) over (partition by user_id order by t rows unbounded preceding) as k from m),
-n as (select user_id, count(distinct k) as n from s group by all),
-r as (select s.*, n, row_number() over (partition by s.user_id, k order by sha256(item), item) as place from s join n on n.user_id = s.user_id),
+with e as (
+  select o_custkey::varchar as custkey, epoch(o_orderdate::timestamp)::bigint as t, {target} as target, l_partkey::varchar as item from lineitem join orders on o_orderkey = l_orderkey where {cond}
+), m as (select *, case when t - lag(t) over (partition by custkey order by t) <= {gap} then 0 else 1 end as fresh from e),
+s as (select *, sum(fresh) over (partition by custkey order by t rows unbounded preceding) as k from m),
+n as (select custkey, count(distinct k) as n from s group by all),
+r as (select s.*, n, min(t) over (partition by s.custkey, k) as session_start, row_number() over (partition by s.custkey, k order by sha256(item), item) as place from s join n on n.custkey = s.custkey),
 c as (select * from r where place <= least(1000, greatest(1000 // n, 1)))
-select distinct a.user_id, {'a.target, ' if target != "''" else ''}a.item as a, b.item as b from c a join c b on a.user_id = b.user_id and a.k = b.k and a.target = b.target and a.item < b.item
+select distinct a.custkey, a.session_start, {'a.target, ' if target != "''" else ''}a.item as a, b.item as b from c a join c b on a.custkey = b.custkey and a.k = b.k and a.target = b.target and a.item < b.item
 """
 
 
@@ -210,10 +216,7 @@ from li left join {_FILES} f on f.user_id = li.user_id and f.id = li.object_id l
     "known_commands": f"""
 with {_LOGGED} select user_id, cmd_id, cmd from li where exists (select 1 from {_FILES} f where f.user_id = li.user_id and f.id = li.object_id) or exists (select 1 from {_FOLDERS} f where f.user_id = li.user_id and f.id = li.object_id)
 """,
-    "new_folders": f"""
-with {_LOG}, m as (select user_id, new_name as name, max(time) as made_at from log where cmd = 'mkdir' and new_name is not null group by all)
-select f.user_id, f.id, f.name, made_at from {_sql_new('folders')} f join m on m.user_id = f.user_id and m.name = f.name
-""",
+    "new_folders": f"with {_LOGGED} select user_id, cmd_id, time, object_id from li where cmd = 'mkdir'",
     "files_as_of": _sql_replayed(f"where time <= {UNTIL}"),
     "files_now": _sql_replayed(""),
     "visible_files": f"select user_id, id, not coalesce(is_owner, false) as locked from {_sql_new('files')} where (created_time is null or created_time <= {UNTIL}) and not coalesce(trashed, false)",
@@ -221,8 +224,8 @@ select f.user_id, f.id, f.name, made_at from {_sql_new('folders')} f join m on m
 with {_LOGGED}, t as (select user_id, object_id, max(time) as t from li group by all)
 select f.user_id, f.id, coalesce(t, 0)::bigint as last_touch from {_sql_new('files')} f left join t on t.user_id = f.user_id and t.object_id = f.path_hash
 """,
-    "moved_together": _sql_together("cmd in ('paste', 'move') and target_id is not null", "target_id"),
-    "deleted_together": _sql_together("cmd = 'rm'", "''"),
+    "moved_together": _sql_together("true", "l_suppkey::varchar", MOVES_S),
+    "removed_together": _sql_together("l_returnflag = 'R'", "''", REMOVALS_S),
     "pair_lookup": f"""
 with s as (select user_id, file_id_a, file_id_b from {_SQL_PAIRS} where user_id is not null),
 l as (select user_id, file_id_b as a, file_id_a as b from s qualify row_number() over (partition by user_id order by file_id_a, file_id_b) = 1)
