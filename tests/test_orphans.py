@@ -1,6 +1,12 @@
 import datetime as dt
+from pathlib import Path
+
+import pytest
 
 from kinfold.operators.orphans import faulty_references, target_states
+from kinfold.plans import core_problems
+
+FOLDER = Path("/root/testdata/sf0.001")
 
 
 def day(month, d, hour=0):
@@ -31,3 +37,18 @@ def test_empty(spark, scratch):
     targets = target_states(spark.createDataFrame([], "user string, id string, gone boolean, at timestamp_ntz"), "k", "user", "id", "gone", "at")
     refs = spark.createDataFrame([], "kind string, scope string, key string, at timestamp_ntz")
     assert faulty_references(refs, targets, scratch).count() == 0
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="the test tables aren't there")
+def test_p3_needs_no_broadcast(spark):
+    expected = {tuple(r) for r in core_problems.p3_found(spark, str(FOLDER)).collect()}
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for name in names:
+            spark.conf.set(name, "-1")
+        found = core_problems.p3_found(spark, str(FOLDER))
+        assert {tuple(r) for r in found.collect()} == expected
+        assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
