@@ -29,12 +29,15 @@ def document_frequencies(documents: DataFrame) -> DataFrame:
     return df.withColumn("idf", F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
 
 
-def tfidf(documents: DataFrame) -> DataFrame:
+def tfidf(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, term, weight) of unit vectors.
 
-    Terms join their idf on the term; a term that a third of all rows hold is split by adaptive execution.
+    Texts are taken apart once: document frequencies are counts of the written (document, term) rows. Terms join their idf
+    on the term; a term that a third of all rows hold is split by adaptive execution.
     """
-    weights = term_counts(documents).join(document_frequencies(documents).select("term", "idf"), "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    counts, n = scratch.cut(term_counts(documents), "terms"), documents.count()
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    weights = counts.join(df, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weights.join(norms, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 

@@ -36,8 +36,9 @@ def doc_stems(spark: SparkSession, folder: str) -> DataFrame:
 def doc_next_cosine(spark: SparkSession, folder: str) -> DataFrame:
     """Cosine of the term weights of every document and the user's next one."""
     documents = table(spark, folder, "documents").select("doc_id", "user_id", "text")
-    following = vectors.successors(documents, "user_id", "doc_id", Scratch(spark, "next"))
-    found = vectors.cosines(following, vectors.tfidf(documents.select("doc_id", "text")))
+    scratch = Scratch(spark, "next")
+    following = scratch.cut(vectors.successors(documents, "user_id", "doc_id", scratch), "following")
+    found = vectors.cosines(following, scratch.cut(vectors.tfidf(documents.select("doc_id", "text"), scratch), "weights"))
     return found.select(F.col("a").alias("doc_id"), F.col("b").alias("next_id"), F.round("cosine", 6).alias("cosine"))
 
 
@@ -98,11 +99,14 @@ def share_rank(spark: SparkSession, folder: str) -> DataFrame:
 
 def share_next(spark: SparkSession, folder: str) -> DataFrame:
     """Jaccard of the suppliers of every part and the part of the next key; 0 if either has one supplier or none."""
-    held = table(spark, folder, "lineitem").groupBy("l_partkey").agg(F.collect_set("l_suppkey").alias("s"))
-    a = held.select("l_partkey", F.col("s").alias("sa"))
-    b = held.select((F.col("l_partkey") - 1).alias("l_partkey"), F.col("s").alias("sb"))
-    few = (F.size("sa") <= 1) | (F.size("sb") <= 1)
-    return a.join(b, "l_partkey").select("l_partkey", F.round(F.when(few, 0.0).otherwise(text.jaccard(F.col("sa"), F.col("sb"))), 6).alias("perm_simil"))
+    held = table(spark, folder, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    n = held.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    after = n.select((F.col("l_partkey") - 1).alias("l_partkey"), F.col("n").alias("m"))
+    # shared ones by a join on (part, supplier), so no part's suppliers are one list
+    both = held.join(held.select((F.col("l_partkey") - 1).alias("l_partkey"), "l_suppkey"), ["l_partkey", "l_suppkey"]).groupBy("l_partkey").agg(F.count(F.lit(1)).alias("k"))
+    j = n.join(after, "l_partkey").join(both, "l_partkey", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    simil = F.when((F.col("n") <= 1) | (F.col("m") <= 1), 0.0).otherwise(F.col("k") / (F.col("n") + F.col("m") - F.col("k")))
+    return j.select("l_partkey", F.round(simil, 6).alias("perm_simil"))
 
 
 def last_touch(spark: SparkSession, folder: str) -> DataFrame:
