@@ -10,7 +10,7 @@ from kinfold.functions import registry as functions
 from kinfold.plans.file_queries import _new, _over, _sql_new, _BIGRAMS
 from kinfold.sources import activity, content, listing
 from kinfold.sources.tables import table
-from kinfold.storage import Scratch
+from kinfold.storage import Scratch, file_system
 from kinfold.streaming.sessions import latest, once
 
 
@@ -96,7 +96,11 @@ def sql_functions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.readStream.schema(table(spark, folder, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A table as a stream, whether it is one file or a folder of them; a stream can't be based on a single file."""
+    path = f"{folder}/{name}.parquet"
+    fs, at = file_system(spark, path)
+    read = spark.readStream.schema(table(spark, folder, name).schema)
+    return read.parquet(path) if fs.getFileStatus(at).isDirectory() else read.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def _written(stream: DataFrame, scratch: Scratch) -> DataFrame:

@@ -1,6 +1,8 @@
+import datetime as dt
 import hashlib
 import io
 import json
+import shutil
 import time
 import zipfile
 import zlib
@@ -8,6 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from kinfold.plans import source_queries
 from kinfold.sources import activity, content, listing, paged
 from kinfold.streaming import sessions as stream
 
@@ -93,6 +96,21 @@ def test_stream_functions(spark, tmp_path):
     assert [r["v"] for r in out(stream.latest(read(), ["key"], "ts", ["v"]), "complete", "l")] == [3]
 
 
+def test_streams_read_tables_of_one_file_and_of_several(spark, tmp_path):
+    at = lambda d: dt.datetime(2024, 1, d)
+    files = spark.createDataFrame([("u", "a", at(1), "old", 1), ("u", "a", at(3), "new", 2), ("v", "b", at(2), "b", None), (None, "a", at(1), "x", 1)], "user_id string, id string, ingested_at timestamp_ntz, name string, size long")
+    log = spark.createDataFrame([("u", "c", at(1)), ("u", "c", at(2)), ("v", "d", at(1)), ("v", "e", None)], "user_id string, rand_id string, ingested_at timestamp_ntz")
+    for name, rows in (("files", files), ("command_history", log)):
+        rows.repartition(4, "ingested_at").write.parquet(str(tmp_path / f"folders/{name}.parquet"))
+        rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+        (tmp_path / "single").mkdir(exist_ok=True)
+        next((tmp_path / "one").glob("part-*")).rename(tmp_path / f"single/{name}.parquet")
+        shutil.rmtree(tmp_path / "one")
+    for folder in ("folders", "single"):
+        assert {tuple(r) for r in source_queries.stream_latest(spark, str(tmp_path / folder)).collect()} == {("u", "a", "new", 2), ("v", "b", "b", None)}
+        assert sorted(tuple(r) for r in source_queries.stream_once(spark, str(tmp_path / folder)).collect()) == [("u", "c"), ("v", "d")]
+
+
 PAGES = {None: (['{"id": "1"}', '{"id": "2"}'], "b"), "b": ([], "c"), "c": (['{"id": "3"}'], None)}
 
 
