@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kinfold.operators import pairs, rules, states, vectors
-from kinfold.operators.comanage import comanaged
+from kinfold.operators.comanage import DAY, comanaged, label
 from kinfold.operators.places import first_rows, places
 from kinfold.operators.search import search
 from kinfold.operators.versions import newest
@@ -72,6 +72,20 @@ def test_comanaged_pairs(spark, scratch):
     assert {(r["a"], r["b"], r["target"]) for r in comanaged(df, 100, scratch).collect()} == {("1", "2", "t")}
 
 
+def test_sessions_of_long_gaps_are_joined_back_without_a_broadcast(spark, scratch):
+    rng, gap = random.Random(12), 90 * DAY
+    rows = [(rng.choice("kl"), rng.randrange(-400, 4000) * DAY // 2, str(i)) for i in range(120)] + [("k", 0, "x"), ("k", gap, "y"), ("k", 0, "z")]
+    found = label(spark.createDataFrame(rows, "key string, time long, item string"), gap, scratch)
+    expected = {}
+    for key in "kl":
+        run = []
+        for _, t, item in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            run = [*run, (t, item)] if run and t - run[-1][0] <= gap else [(t, item)]
+            expected |= {i: (key, run[0][0], t) for _, i in run}
+    assert {r["item"]: (r["key"], r["session_start"], r["session_end"]) for r in found.collect()} == expected and len(set(expected.values())) > 4
+    assert found.count() == len(rows) and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nearest_against_brute_force(spark):
     x = np.random.default_rng(0).normal(size=(60, 5))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(3)
