@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import random
 from collections import defaultdict
 
@@ -72,6 +73,19 @@ def test_comanaged_pairs(spark, scratch):
     assert {(r["a"], r["b"], r["target"]) for r in comanaged(df, 100, scratch).collect()} == {("1", "2", "t")}
 
 
+def test_comanaged_pairs_of_sessions_above_their_limit(spark, scratch):
+    rng = random.Random(13)
+    sizes = [("k", 0, 3), ("k", 5000, 4), ("k", 10000, 12), ("l", 0, 8), ("m", 0, 9), ("m", 5000, 2)]
+    rows = [(key, start + rng.randrange(3) * 50, rng.choice("st"), f"{key}{start}{i}") for key, start, size in sizes for i in range(size)]
+    expected = set()
+    for key, start, _ in sizes:
+        own = sorted((r for r in rows if r[0] == key and start <= r[1] < start + 200), key=lambda r: hashlib.sha256(r[3].encode()).hexdigest())
+        own = own[: max(8 // sum(s[0] == key for s in sizes), 1)]
+        expected |= {(key, min(r[1] for r in rows if r[0] == key and start <= r[1] < start + 200), t, a, b) for _, _, t, a in own for _, _, u, b in own if t == u and a < b}
+    found = comanaged(spark.createDataFrame(rows, "key string, time long, target string, item string"), 200, scratch, 8)
+    assert {tuple(r) for r in found.select("key", "session_start", "target", "a", "b").collect()} == expected and expected
+
+
 def test_sessions_of_long_gaps_are_joined_back_without_a_broadcast(spark, scratch):
     rng, gap = random.Random(12), 90 * DAY
     rows = [(rng.choice("kl"), rng.randrange(-400, 4000) * DAY // 2, str(i)) for i in range(120)] + [("k", 0, "x"), ("k", gap, "y"), ("k", 0, "z")]
