@@ -73,6 +73,13 @@ def test_comanaged_pairs(spark, scratch):
     assert {(r["a"], r["b"], r["target"]) for r in comanaged(df, 100, scratch).collect()} == {("1", "2", "t")}
 
 
+def test_rows_without_item_or_time_count_to_sessions(spark, scratch):
+    rows = [("u", 0, "t", "1"), ("u", 90, None, None), ("u", 180, "t", "2"), ("u", 500, "t", None), ("v", None, "t", "8"), ("v", None, "t", "9"), ("v", 0, "t", "1"), ("v", 0, "t", "2"), ("w", 0, "t", "1"), ("w", 0, "t", "2")]
+    found = comanaged(spark.createDataFrame(rows, "key string, time long, target string, item string"), 100, scratch, 4)
+    # u has two sessions with two rows each; v three with one each, as rows without a time are one by themselves
+    assert {tuple(r) for r in found.select("key", "session_start", "a", "b").collect()} == {("u", 0, "1", "2"), ("w", 0, "1", "2")}
+
+
 def test_comanaged_pairs_of_sessions_above_their_limit(spark, scratch):
     rng = random.Random(13)
     sizes = [("k", 0, 3), ("k", 5000, 4), ("k", 10000, 12), ("l", 0, 8), ("m", 0, 9), ("m", 5000, 2)]

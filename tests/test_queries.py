@@ -2,6 +2,7 @@
 
 import ast
 import math
+import random
 from collections import Counter
 from pathlib import Path
 
@@ -37,6 +38,25 @@ def test_query_equals_sql(spark, duck, name):
     assert _rows(tuple(r) for r in found.select(*columns).collect()) == _rows(expected)
 
 
+@pytest.mark.parametrize("name", ["moved_together", "removed_together"])
+def test_pairs_of_parts_on_odd_orders_equal_sql(spark, tmp_path, name):
+    """Orders of one line at different times, so the SQL leaves no tie open: no dates, no parts, parts of seconds at the gap."""
+    import duckdb
+
+    rng, con, gap = random.Random(14), duckdb.connect(), 90 * 86400 if name == "moved_together" else 20 * 86400
+    times = {k: None if rng.random() < 0.1 else (k // 3 * gap - 40 * gap) * 1_000_000 + rng.choice([0, 400_000, 500_000, 1_500_000, 600_000]) for k in range(240)}
+    con.execute("create table orders (o_orderkey bigint, o_custkey bigint, o_orderdate timestamp)")
+    con.execute("create table lineitem (l_orderkey bigint, l_suppkey bigint, l_partkey bigint, l_returnflag varchar)")
+    con.executemany("insert into orders select ?, ?, make_timestamp(?)", [(k, k % 3, t) for k, t in times.items()])
+    con.executemany("insert into lineitem values (?, 1, ?, 'R')", [(k, None if rng.random() < 0.2 else rng.randrange(60)) for k in times])
+    for t in ("orders", "lineitem"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    found = registry.queries()[name](spark, str(tmp_path))
+    columns = sorted(found.columns)
+    expected = _rows(con.execute(f"select {', '.join(columns)} from ({registry.oracle_sql()[name]})").fetchall())
+    assert _rows(tuple(r) for r in found.select(*columns).collect()) == expected and expected
+
+
 def test_entry_points():
     import __spark_entry__ as entry
 
