@@ -93,6 +93,19 @@ def test_comanaged_pairs_of_sessions_above_their_limit(spark, scratch):
     assert {tuple(r) for r in found.select("key", "session_start", "target", "a", "b").collect()} == expected and expected
 
 
+def test_comanaged_pairs_of_all_rows(spark, scratch):
+    """Groups in one, two and many blocks, with repeated rows and rows without key, time, target or item."""
+    rng = random.Random(16)
+    rows = [(key, start + rng.randrange(3) * 50, t, f"{rng.randrange(2 * size)}") for key, start, t, size in [("k", 0, "s", 40), ("k", 0, "t", 5), ("k", 5000, "t", 9), ("l", 0, "s", 1)] for _ in range(size)]
+    odd = [(None, 0, "s", "x"), ("k", None, "s", "x"), ("k", 50, None, "x"), ("k", 50, None, "y"), ("k", 50, "s", None)]
+    starts = {by: min(r[1] for r in rows if (r[0], r[1] // 5000) == by) for by in {(r[0], r[1] // 5000) for r in rows}}
+    expected = {(r[0], starts[r[0], r[1] // 5000], r[2], r[3], o[3]) for r in rows for o in rows if r[0] == o[0] and r[1] // 5000 == o[1] // 5000 and r[2] == o[2] and r[3] < o[3]}
+    df = spark.createDataFrame(rows + rows[:20] + odd, "key string, time long, target string, item string")
+    for block in (4, 1000):
+        found = [tuple(r) for r in comanaged(df, 200, scratch, None, block).select("key", "session_start", "target", "a", "b").collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
+
+
 def test_sessions_of_long_gaps_are_joined_back_without_a_broadcast(spark, scratch):
     rng, gap = random.Random(12), 90 * DAY
     rows = [(rng.choice("kl"), rng.randrange(-400, 4000) * DAY // 2, str(i)) for i in range(120)] + [("k", 0, "x"), ("k", gap, "y"), ("k", 0, "z")]

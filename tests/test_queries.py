@@ -57,6 +57,31 @@ def test_pairs_of_parts_on_odd_orders_equal_sql(spark, tmp_path, name):
     assert _rows(tuple(r) for r in found.select(*columns).collect()) == expected and expected
 
 
+def test_all_pairs_of_parts_of_large_sessions(spark, tmp_path):
+    """1,400 lines in one session and 600 in each of two, which once were cut to 1,000 and 500. Orders of one line at different times, so the SQL leaves no tie open."""
+    import duckdb
+
+    rng, con, day = random.Random(15), duckdb.connect(), 86400
+    # (customer, day) of each order: customer 1 has one session, 2 has two at a pause of 91 days
+    orders = [(1, d) for d in range(1400)] + [(2, d) for d in range(600)] + [(2, 690 + d) for d in range(600)]
+    lines = [(k, rng.randrange(60), rng.randrange(900)) for k in range(len(orders))]
+    con.execute("create table orders (o_orderkey bigint, o_custkey bigint, o_orderdate timestamp)")
+    con.execute("create table lineitem (l_orderkey bigint, l_suppkey bigint, l_partkey bigint, l_returnflag varchar)")
+    con.executemany("insert into orders select ?, ?, make_timestamp(?)", [(k, c, d * day * 1_000_000) for k, (c, d) in enumerate(orders)])
+    con.executemany("insert into lineitem values (?, ?, ?, 'N')", lines)
+    for t in ("orders", "lineitem"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    items = {}
+    for k, supp, part in lines:
+        start = 690 * day if orders[k][0] == 2 and orders[k][1] >= 690 else 0
+        items.setdefault((str(orders[k][0]), start, str(supp)), set()).add(str(part))
+    expected = Counter((*by, a, b) for by, own in items.items() for a in own for b in own if a < b)
+    columns = ["custkey", "session_start", "target", "a", "b"]
+    found = registry.queries()["moved_together"](spark, str(tmp_path)).select(*columns).collect()
+    assert _rows(tuple(r) for r in found) == expected
+    assert _rows(con.execute(f"select {', '.join(columns)} from ({registry.oracle_sql()['moved_together']})").fetchall()) == expected
+
+
 def test_entry_points():
     import __spark_entry__ as entry
 
